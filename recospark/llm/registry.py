@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recospark.llm import topk
-from recospark.llm.common import read
+from recospark.llm import langid, secrets, topk
+from recospark.llm.common import read, remainder
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,23 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20, F.col("vec_id") % 20 == 0, scale=64.0)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and a digest of the base kinds, and all spans."""
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose remainder modulo 4 is not 2."""
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample(docs, remainder("doc_id", 4) != 2))
+    found = langid.predict(docs, model, ["doc_id"])
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op4_topk": op4_topk,
+    "op7_secrets": op7_secrets,
+    "op9_langid": op9_langid,
 }
 
 ORACLES = {
