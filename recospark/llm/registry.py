@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recospark.llm import langid, secrets, topk
+from recospark.llm import langid, secrets, topk, toxicity
 from recospark.llm.common import read, remainder
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is, learned from labelled ones whose remainder modulo 5 is not 0."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.drawn(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0))
+    found = toxicity.score(docs, model, ["doc_id"])
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact top 20 of every twentieth vector against all vectors."""
     return topk.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20, F.col("vec_id") % 20 == 0, scale=64.0)
@@ -28,6 +37,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_topk": op4_topk,
     "op7_secrets": op7_secrets,
     "op9_langid": op9_langid,
