@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recospark.llm import langid, secrets, topk, toxicity
+from recospark.llm import langid, packing, secrets, topk, toxicity
 from recospark.llm.common import read, remainder
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that documents are packed with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How toxic every document is, learned from labelled ones whose remainder modulo 5 is not 0."""
     docs = read(spark, sf_dir, "documents")
@@ -23,6 +30,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20, F.col("vec_id") % 20 == 0, scale=64.0)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens at most."""
+    return packing.digest(packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and a digest of the base kinds, and all spans."""
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -39,6 +51,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_topk": op4_topk,
+    "op5_packing": op5_packing,
     "op7_secrets": op7_secrets,
     "op9_langid": op9_langid,
 }
