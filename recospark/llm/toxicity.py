@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from recospark.llm.common import checkpoint, chunks
 
-N_GRAMS, BITS, FEATURES = (3, 4, 5), 18, 1024
+N_GRAMS, BITS, FEATURES = (4, 6, 8), 20, 1024
 #: Labelled documents learned from at most, and the tasks that count them.
 TRAINED, TASKS = 16_000, 8
 #: Fixed odd multipliers of the n-gram hash.
@@ -91,11 +91,11 @@ def fit(sample: DataFrame) -> Model:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic] += 1
                 counts[toxic, np.unique(buckets(text))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()]), pa.array([seen[0]]), pa.array([seen[1]])], ["counts", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array([counts.astype(np.uint16).tobytes()]), pa.array([seen[0]]), pa.array([seen[1]])], ["counts", "n0", "n1"])
 
     counts, n0, n1 = np.zeros((2, 1 << BITS)), 0, 0
     for row in sample.mapInArrow(count, "counts binary, n0 long, n1 long").collect():
-        counts += np.frombuffer(row.counts, np.int32).reshape(2, -1)
+        counts += np.frombuffer(row.counts, np.uint16).reshape(2, -1)
         n0, n1 = n0 + row.n0, n1 + row.n1
     nothing = np.full(1 << BITS, -1, np.int16)
     if not (n0 and n1):
