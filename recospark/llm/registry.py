@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recospark.llm import langid, packing, secrets, topk, toxicity
+from recospark.llm import html, langid, packing, secrets, topk, toxicity
 from recospark.llm.common import read, remainder
 
 
@@ -35,6 +35,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and a digest of the base kinds, and all spans."""
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -52,6 +58,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_topk": op4_topk,
     "op5_packing": op5_packing,
+    "op6_html": op6_html,
     "op7_secrets": op7_secrets,
     "op9_langid": op9_langid,
 }
