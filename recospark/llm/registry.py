@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recospark.llm import html, langid, packing, secrets, topk, toxicity
+from recospark.llm import html, langid, packing, secrets, simhash, topk, toxicity
 from recospark.llm.common import read, remainder
 
 
@@ -25,6 +25,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and its group of near-duplicates."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact top 20 of every twentieth vector against all vectors."""
     return topk.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20, F.col("vec_id") % 20 == 0, scale=64.0)
@@ -56,6 +62,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_packing": op5_packing,
     "op6_html": op6_html,
