@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df as compressed Parquet below the shared checkpoint folder and read it back; for what is large.
+
+    The files go when the application ends.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remainder(column: str, by: int) -> Column:
     """crc32 of an id's decimal text, modulo by; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by

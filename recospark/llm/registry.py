@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recospark.llm import decontamination, html, langid, packing, secrets, simhash, substrings, topk, toxicity
+from recospark.llm import decontamination, html, langid, language_model, packing, secrets, simhash, substrings, topk, toxicity
 from recospark.llm.common import read, remainder
 
 
@@ -71,6 +71,15 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learned from those whose remainder modulo 7 is not 2."""
+    docs = read(spark, sf_dir, "documents")
+    model = language_model.fit(docs, remainder("doc_id", 7) != 2)
+    found = language_model.score(docs, model)
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
@@ -81,6 +90,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_decontamination": op8_decontamination,
     "op9_langid": op9_langid,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLES = {
