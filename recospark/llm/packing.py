@@ -16,8 +16,10 @@ exactly one piece; repeated rows are packed as often as they occur, also under a
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,14 +31,26 @@ from pyspark.sql import functions as F
 from recospark.llm.common import chunks, texts
 
 #: Sizes of windows; tokens of a step group, in longest windows; documents packed together; words whose ids are kept.
-TIERS, STEP_WINDOWS, RUN, REMEMBERED = (256, 512, 1024, 2048), 8, 4096, 300_000
+TIERS, STEP_WINDOWS, RUN, REMEMBERED = (256, 512, 1024, 2048), 8, 4096, 800_000
 #: The id that ends every document.
 END = 1
 
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
 
-class Words(dict):
+#: A full stop or comma after a letter, at a word's end: the tokenizer parts it from the letters anyway.
+_STOP = re.compile(rb"(?<=[a-z])[.,](?![^\x20\x09-\x0D])")
+
+
+def _words(text: bytes) -> list[bytes]:
+    """White-space separated words that the tokenizer treats as it does the text.
+
+    It folds to lower case itself; where a special token's spelling may begin, nothing is folded or parted.
+    """
+    return text.split() if b"<|" in text else _STOP.sub(rb" \g<0>", text.lower()).split()
+
+
+class Words:
     """Ids of white-space separated words. The tokenizer drops white space and never joins what it parts."""
 
     def __init__(self, path: str) -> None:
@@ -44,20 +58,42 @@ class Words(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        # A word's number, and where its ids lie in the flat array; number 0 is the end of a document.
+        self.number: dict[bytes, int] = {}
+        self.flat, self.starts = np.array([END], np.uint32), np.array([0, 1], np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 50_000):
+            part = words[a : a + 50_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            self.number.update(zip(part, range(len(self.number) + 1, len(self.number) + 1 + len(part)), strict=True))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
 
     def ids(self, docs: list[bytes]) -> list[np.ndarray]:
         """Each document's ids, the end id included."""
-        split = [x.split() for x in docs]
-        missing = list(set().union(*split) - self.keys())
-        if len(self) + len(missing) > REMEMBERED:
-            self.clear()
-            missing = list(set().union(*split))
-        for a in range(0, len(missing), 50_000):
-            part = missing[a : a + 50_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update(zip(part, (tuple(e.ids) for e in found), strict=True))
-        get = self.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, words)), (END,)), np.uint32) for words in split]
+        split = [_words(x) for x in docs]
+        distinct = set().union(*split)
+        missing = list(distinct - self.number.keys())
+        if len(self.number) + len(missing) > REMEMBERED:
+            self.forget()
+            missing = list(distinct)
+        self.learn(missing)
+        sizes = [len(x) + 1 for x in split]
+        words = np.fromiter(chain.from_iterable(chain(map(self.number.__getitem__, x), (0,)) for x in split), np.int64, sum(sizes))
+        starts, counts = self.starts[words], self.starts[words + 1] - self.starts[words]
+        ends = np.cumsum(counts)
+        ids = self.flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, ends[np.cumsum(sizes) - 1][:-1]) if docs else []
+
+
+@lru_cache(maxsize=2)
+def _words_of(path: str) -> Words:
+    """A worker's words, kept from task to task."""
+    return Words(path)
 
 
 def _tier(length: int) -> int:
@@ -131,7 +167,7 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, sequence, used = Words(tokenizer), TaskContext.get().partitionId() << 40, 0, 0
+        words, base, sequence, used = _words_of(tokenizer), TaskContext.get().partitionId() << 40, 0, 0
         owners: list = []
         ids: list[np.ndarray] = []
 

@@ -36,7 +36,7 @@ def test_ids_and_places(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(5)
-    odd = [None, "", "   ", "Don't <|endoftext|> x<|startoftext|>y", "ÄÖÜ ß é ́a İstanbul \x1c\x85 日本語 12345 ΑΣ", "word " * 9000]
+    odd = [None, "", "   ", "Don't <|endoftext|> x<|startoftext|>y", "ÄÖÜ ß é ́a İstanbul \x1c\x85 日本語 12345 ΑΣ", "word " * 9000, "Stop. stop, A.B. x.. (end). Ü. é. don't. it's, 3. \u00a0y.\u00a0z. b.\x0c c.\x1c <|ENDOFTEXT|> End."]
     rows = [(i, t) for i, t in enumerate(odd + [" ".join("".join(rng.choices("abcdeé'1.", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 400))) for _ in range(60)])]
     docs = spark.createDataFrame([*rows, (None, "a b"), (3, "again")], "doc_id long, text string").repartition(3)
     tokenizer = Tokenizer.from_file(path)
