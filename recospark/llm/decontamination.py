@@ -115,16 +115,21 @@ class Items:
                 yield self.ids[i], shared, of
 
 
-def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles, containment: the items (item_id, text) that documents (doc_id, text) contain."""
+def _blocks(docs: DataFrame, items: DataFrame) -> Iterator:
+    """The items (item_id, text) as broadcasts of ITEM_BYTES at most."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // ITEM_BYTES + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    context, out = docs.sparkSession.sparkContext, None
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = context.broadcast([(r.item_id, r.text.encode()) for r in own.collect()])
+        yield docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own.collect()])
+
+
+def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles, containment: the items (item_id, text) that documents (doc_id, text) contain."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for shared in _blocks(docs, items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Items(shared.value, shingle)
@@ -152,3 +157,21 @@ def _typed(run):
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, kinds, strict=True)], schema=kinds)
 
     return typed
+
+
+def without_items(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs whose text contains no item to the threshold; all columns stay, and nothing is shuffled."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(docs.schema)
+    for shared in _blocks(docs, items):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Items(shared.value, shingle)
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    kept = [next(index.verified(t.lower().split(), threshold), None) is None for t in texts(part)]
+                    yield pa.RecordBatch.from_arrays(part.filter(pa.array(kept, pa.bool_())).columns, schema=arrow)
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -30,9 +30,14 @@ from recospark.llm.components import stars
 BLOCKS, CROWDED, DEEPER = 7, 4096, 2
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
-    """A text's fingerprint as a signed 64-bit integer: a bit is 1 if set in over half of the shingles' hashes."""
+def fingerprint(text: bytes, shingle: int, seed: int = 42, distinct: bool = False) -> int:
+    """A text's fingerprint as a signed 64-bit integer: a bit is 1 if set in over half of the shingles' hashes.
+
+    distinct: each word counts once (for shingles of one word).
+    """
     words = text.lower().split()
+    if distinct:
+        words = list(dict.fromkeys(words))
     if not words:
         return 0
     joined, n = b" ".join(words), len(words)
@@ -48,15 +53,16 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id (as doc_id) and fingerprint (fp, a long) of each document."""
+def fingerprints(docs: DataFrame, shingle: int = 4, views: int = 1, distinct: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The id (as doc_id) and the fingerprints (fps, longs under the seeds 42, 43, ...) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(x, shingle) for x in texts(part)], pa.int64())], ["doc_id", "fp"])
+                fps = [[fingerprint(x, shingle, 42 + v, distinct) for v in range(views)] for x in texts(part)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 @lru_cache(maxsize=4096)
@@ -166,12 +172,25 @@ def close_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the least id in its group) of each document."""
-    own = checkpoint(fingerprints(docs, shingle, id_col, text))
-    copies = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = stars(close_links(copies.select("fp"), distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, views: int = 1, distinct: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp (under seed 42) and component_id (the least id in its group) of each document.
+
+    views: so many fingerprints under other seeds; documents are linked if any of them are close.
+    """
+    own = checkpoint(fingerprints(docs, shingle, views, distinct, id_col, text))
+    copies = checkpoint(own.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("least")))
+    links = close_links(copies.select("fp"), distance)
+    for view in range(1, views):
+        # Documents stand for each other by their first fingerprint, which those with another one in common share too.
+        seen = own.select(F.col("fps")[0].alias("fp"), F.col("fps")[view].alias("other"))
+        nodes = checkpoint(seen.groupBy("other").agg(F.min("fp").alias("node")))
+        ties = seen.distinct().join(nodes, "other").filter(F.col("fp") != F.col("node")).select("fp", "node")
+        close = close_links(nodes.select(F.col("other").alias("fp")), distance)
+        for end in ("u", "v"):
+            close = close.join(nodes.select(F.col("other").alias(end), F.col("node").alias(f"{end}_node")), end)
+        links = links.union(ties).union(close.select("u_node", "v_node"))
+    roots = stars(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     grouped = copies.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     leasts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = checkpoint(grouped.join(leasts, "root").select("fp", "component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return own.select("doc_id", F.col("fps")[0].alias("fp")).join(named, "fp").select("doc_id", "fp", "component_id")

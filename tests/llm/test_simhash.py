@@ -54,6 +54,32 @@ def test_against_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_several_views(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows = [" ".join(rng.choices(words, k=rng.randint(5, 90))) for _ in range(40)]
+    for t in rows[:40]:
+        w = t.split()
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=1, views=3, distinct=True).collect()}
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for seed in (42, 43, 44):
+        fps = [simhash.fingerprint(t.encode(), 1, seed, True) for t in rows]
+        for i, g in enumerate(brute_groups(fps, 4)):
+            a, b = find(i), find(g)
+            parent[max(a, b)] = min(a, b)
+    assert [got[i] for i in range(len(rows))] == [find(i) for i in range(len(rows))]
+
+
 def test_crowded_buckets_lose_no_link(spark):
     rng = random.Random(8)
     fps = set()
