@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from recospark.config import ServingConfig
 from recospark.operators import recommend, retrieval
@@ -15,7 +16,7 @@ from recospark.operators import recommend, retrieval
 QUOTAS = {"dual": 3, "item_strong": 2, "user_strong": 2, "sparse": 1, "overlap_filter": 1, "content": 1}
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def _hashed(x: pd.Series) -> pd.Series:
     from decimal import Decimal
 

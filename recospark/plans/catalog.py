@@ -299,7 +299,7 @@ def item_cf_seeds(s, d):
 
 def _candidates(s, d, name: str) -> DataFrame:
     found = recommend.retrievers(_stores(s, d))[name](retrieval.expanded(_requests(s, d), SERVING), SERVING)
-    return _of_user(found.select("request_id", "item_id", "position", _r("retrieve_score", 10), "trigger_id", _r("reason_score", 10)))
+    return _of_user(found.select("request_id", "item_id", "position", _r("retrieve_score", 13), "trigger_id", _r("reason_score", 13)))
 
 
 @query
@@ -324,7 +324,7 @@ def _orchestrated(s, d) -> DataFrame:
 
 @query
 def orchestrated(s, d):
-    return _of_user(_orchestrated(s, d).select("request_id", "item_id", "position", "retriever", _r("retrieve_score", 10)))
+    return _of_user(_orchestrated(s, d).select("request_id", "item_id", "position", "retriever", _r("retrieve_score", 13)))
 
 
 @query

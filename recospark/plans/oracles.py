@@ -145,7 +145,7 @@ def _edges(prefix: str) -> str:
     return f"SELECT src, dst, score, cooccurrence FROM {prefix}sim"
 
 
-_CANDIDATE = "SELECT u AS user_id, i AS item_id, position, round(score, 10) AS retrieve_score, trig AS trigger_id, round(reason, 10) AS reason_score FROM "
+_CANDIDATE = "SELECT u AS user_id, i AS item_id, position, round(score, 13) AS retrieve_score, trig AS trigger_id, round(reason, 13) AS reason_score FROM "
 
 ORACLES = {
     "rating_stats": "SELECT i AS item_id, round(avg(rating), 4) AS avg, count(*) AS count FROM rp GROUP BY i",
@@ -185,7 +185,7 @@ ORACLES = {
     "item_cf_candidates": _CANDIDATE + "icf",
     "user_cf_candidates": _CANDIDATE + "ucf",
     "retrieval_diagnostics": "SELECT u AS user_id, count(DISTINCT s.i) AS seeds, count(e.dst) AS fetched, count(x.i) AS filtered FROM iseed s LEFT JOIN ibsim e ON e.src = s.i AND e.position <= 10 LEFT JOIN seen x USING (u, i) GROUP BY u".replace("LEFT JOIN seen x USING (u, i)", "LEFT JOIN seen x ON x.u = s.u AND x.i = e.dst").replace("SELECT u AS", "SELECT s.u AS").replace("GROUP BY u", "GROUP BY s.u"),
-    "orchestrated": "SELECT u AS user_id, i AS item_id, position, retriever, round(score, 10) AS retrieve_score FROM orch",
+    "orchestrated": "SELECT u AS user_id, i AS item_id, position, retriever, round(score, 13) AS retrieve_score FROM orch",
     "retrieval_reasons": "SELECT c.u AS user_id, c.i AS item_id, c.retriever, CASE WHEN c.turn = 0 THEN 'Retrieved from item_cf using trigger item ' ELSE 'Retrieved from user_cf using similar user ' END || trig || '.' AS description FROM cand c JOIN orch o ON o.u = c.u AND o.i = c.i",
     "ranked": "SELECT u AS user_id, i AS item_id, rank_position, round(s, 6) AS rank_score, round(retrieval, 6) AS retrieval, round(interest, 6) AS interest, round(quality, 6) AS quality, round(negative, 6) AS negative FROM ranked",
     "score_factors": "SELECT u AS user_id, i AS item_id, place, CAST([1, 2, 4, 3][place + 1] AS INTEGER) AS factor_type, ['retrieval', 'interest_match', 'quality', 'negative_feedback'][place + 1] AS name, round([retrieval, interest, quality, negative][place + 1], 6) AS raw_value, round([retrieval, interest, quality * 0.1, -negative][place + 1], 6) AS contribution FROM ranked, (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS place) WHERE known OR place IN (0, 3)",

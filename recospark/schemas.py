@@ -2,35 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-RATINGS = StructType.fromDDL("userId LONG, movieId LONG, rating DOUBLE, timestamp LONG")
-MOVIES = StructType.fromDDL("movieId LONG, title STRING, genres STRING")
-TAGS = StructType.fromDDL("userId STRING, movieId LONG, tag STRING")
-LINKS = StructType.fromDDL("movieId LONG, imdbId STRING, tmdbId STRING")
-
-_WEIGHTED = "ARRAY<STRUCT<item_id: LONG, weight: DOUBLE, event_time: LONG, source: INT, confidence: DOUBLE, raw_score: DOUBLE>>"
-_INTERESTS = "STRUCT<genres: ARRAY<STRUCT<genre: STRING, weight: DOUBLE, confidence: DOUBLE, update_time: LONG>>, tags: ARRAY<STRUCT<tag: STRING, weight: DOUBLE, confidence: DOUBLE, update_time: LONG>>>"
-ITEM_INDEX = StructType.fromDDL(
-    "item_id LONG, title STRING, title_raw STRING, title_norm STRING, year INT, genres ARRAY<STRING>, "
-    "tags STRUCT<top_tags: ARRAY<STRUCT<tag: STRING, weight: DOUBLE>>, tag_count: LONG, unique_tag_count: LONG>, "
-    "rating STRUCT<avg: DOUBLE, count: LONG>, search STRUCT<tag_text: STRING, all_text: STRING>, ext STRUCT<imdb_id: STRING, tmdb_id: LONG>"
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
+
+LONG, INT, DOUBLE, STRING = LongType(), IntegerType(), DoubleType(), StringType()
+
+
+def _struct(**fields: DataType) -> StructType:
+    out = StructType()
+    for name, kind in fields.items():
+        out.add(name, kind)
+    return out
+
+
+def _list(**fields: DataType) -> ArrayType:
+    return ArrayType(_struct(**fields))
+
+
+RATINGS = _struct(userId=LONG, movieId=LONG, rating=DOUBLE, timestamp=LONG)
+MOVIES = _struct(movieId=LONG, title=STRING, genres=STRING)
+TAGS = _struct(userId=STRING, movieId=LONG, tag=STRING)
+LINKS = _struct(movieId=LONG, imdbId=STRING, tmdbId=STRING)
+
+ITEM_INDEX = _struct(
+    item_id=LONG,
+    title=STRING,
+    title_raw=STRING,
+    title_norm=STRING,
+    year=INT,
+    genres=ArrayType(STRING),
+    tags=_struct(top_tags=_list(tag=STRING, weight=DOUBLE), tag_count=LONG, unique_tag_count=LONG),
+    rating=_struct(avg=DOUBLE, count=LONG),
+    search=_struct(tag_text=STRING, all_text=STRING),
+    ext=_struct(imdb_id=STRING, tmdb_id=LONG),
 )
-PROFILE = StructType.fromDDL(
-    "user_id LONG, demographics STRUCT<username: STRING, display_name: STRING, birth_year: INT, gender: STRING, location_id: INT>, "
-    f"social STRUCT<following: ARRAY<LONG>, followers: ARRAY<LONG>>, interests {_INTERESTS}, "
-    f"negative_feedbacks STRUCT<items: {_WEIGHTED}, genres: ARRAY<STRUCT<genre: STRING, weight: DOUBLE, confidence: DOUBLE, update_time: LONG>>, "
-    "tags: ARRAY<STRUCT<tag: STRING, weight: DOUBLE, confidence: DOUBLE, update_time: LONG>>>, "
-    f"behaviors STRUCT<liked_items: {_WEIGHTED}, recent_liked_items: {_WEIGHTED}, interested_items: {_WEIGHTED}, rated_items: ARRAY<LONG>>, "
-    "embedding_sets ARRAY<STRUCT<embedding_id: STRING, description: STRING, vector: ARRAY<FLOAT>, active: BOOLEAN>>, "
-    "stats STRUCT<rating_count: LONG, positive_rating_count: LONG, weak_positive_rating_count: LONG, negative_rating_count: LONG, avg_rating: DOUBLE, "
-    "rating_stddev: DOUBLE, first_event_time: LONG, last_event_time: LONG, active_timeframe: LONG, profile_confidence: DOUBLE, interest_entropy: DOUBLE>"
+
+_WEIGHTED = _list(item_id=LONG, weight=DOUBLE, event_time=LONG, source=INT, confidence=DOUBLE, raw_score=DOUBLE)
+_GENRES = _list(genre=STRING, weight=DOUBLE, confidence=DOUBLE, update_time=LONG)
+_TAGS = _list(tag=STRING, weight=DOUBLE, confidence=DOUBLE, update_time=LONG)
+PROFILE = _struct(
+    user_id=LONG,
+    demographics=_struct(username=STRING, display_name=STRING, birth_year=INT, gender=STRING, location_id=INT),
+    social=_struct(following=ArrayType(LONG), followers=ArrayType(LONG)),
+    interests=_struct(genres=_GENRES, tags=_TAGS),
+    negative_feedbacks=_struct(items=_WEIGHTED, genres=_GENRES, tags=_TAGS),
+    behaviors=_struct(liked_items=_WEIGHTED, recent_liked_items=_WEIGHTED, interested_items=_WEIGHTED, rated_items=ArrayType(LONG)),
+    embedding_sets=_list(embedding_id=STRING, description=STRING, vector=ArrayType(FloatType()), active=BooleanType()),
+    stats=_struct(
+        rating_count=LONG,
+        positive_rating_count=LONG,
+        weak_positive_rating_count=LONG,
+        negative_rating_count=LONG,
+        avg_rating=DOUBLE,
+        rating_stddev=DOUBLE,
+        first_event_time=LONG,
+        last_event_time=LONG,
+        active_timeframe=LONG,
+        profile_confidence=DOUBLE,
+        interest_entropy=DOUBLE,
+    ),
 )
 
 
-def similarity(id_field: str) -> StructType:
-    """Adjacency rows of an entity: item_id or user_id, and its neighbours."""
-    return StructType.fromDDL(f"{id_field} LONG, neighbors ARRAY<STRUCT<{id_field}: LONG, score: DOUBLE, cooccurrence: LONG>>")
+def similarity(id_field: str, text: bool = False) -> StructType:
+    """Adjacency rows of an entity: item_id or user_id, and its neighbours; text: ids and numbers as text."""
+    number, score = (STRING, STRING) if text else (LONG, DOUBLE)
+    return _struct(**{id_field: number, "neighbors": _list(**{id_field: number, "score": score, "cooccurrence": number})})
 
 
 # Fixed codes.

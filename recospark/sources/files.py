@@ -67,8 +67,7 @@ def read_store(spark: SparkSession, path: str, schema: StructType, key: str) ->
 
 def read_similarity(spark: SparkSession, path: str, id_field: str) -> DataFrame:
     """Edges src, dst, score, cooccurrence, position of a similarity store; ids and scores may be numbers or their text."""
-    text = StructType.fromDDL(f"{id_field} STRING, neighbors ARRAY<STRUCT<{id_field}: STRING, score: STRING, cooccurrence: STRING>>")
-    rows = read_documents(spark, path, text).select(F.col(id_field).cast("long").alias(id_field), "neighbors")
+    rows = read_documents(spark, path, schemas.similarity(id_field, text=True)).select(F.col(id_field).cast("long").alias(id_field), "neighbors")
     rows = rows.withColumn("_order", F.monotonically_increasing_id())
     flat = last_wins(rows, id_field, "_order").select(F.col(id_field).alias("src"), F.posexplode("neighbors").alias("position", "n"))
     return flat.select("src", F.col(f"n.{id_field}").cast("long").alias("dst"), F.col("n.score").cast("double").alias("score"), F.coalesce(F.col("n.cooccurrence").cast("long"), F.lit(0)).alias("cooccurrence"), (F.col("position") + 1).alias("position"))
