@@ -112,9 +112,9 @@ def _gathered(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
 
 
 def build(ratings: DataFrame, movies: DataFrame, tags: DataFrame, config: ProfileConfig = ProfileConfig(), ascii_only: bool = False) -> DataFrame:
-    """One document for each user with a rating, as in schemas.PROFILE."""
-    rated = weighted(ratings, config)
-    top_tags = T.top_tags(T.evidence(tags, movies, ascii_only), config.tags, normalized=True)
+    """One document for each user with a rating, as in schemas.PROFILE. What several lists are made from is persisted."""
+    rated = weighted(ratings, config).persist()
+    top_tags = T.top_tags(T.evidence(tags, movies, ascii_only), config.tags, normalized=True).persist()
     parts = user_stats(rated, config)
     fields = ["item_id", "weight", "event_time", "source", "confidence", "raw_score"]
     for name in LISTS:

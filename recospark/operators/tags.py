@@ -12,11 +12,12 @@ from recospark.functions.text import normalize_tag
 def evidence(tags: DataFrame, movies: DataFrame, ascii_only: bool = False) -> DataFrame:
     """movieId, tag, rows, users: uses of each normalised tag of an item in the catalogue, and its distinct users.
 
-    A blank user counts as a row but as no user.
+    A blank user counts as a row but as no user. The rows are persisted, as frequencies, counts and top tags each read
+    them; a lost part is computed again from its lineage.
     """
     known = tags.join(movies.select("movieId").distinct(), "movieId", "left_semi")
     named = known.withColumn("tag", normalize_tag(F.col("tag"), ascii_only)).filter("tag <> ''")
-    return named.groupBy("movieId", "tag").agg(F.count("*").alias("rows"), F.count_distinct(F.nullif(F.trim("userId"), F.lit(""))).alias("users"))
+    return named.groupBy("movieId", "tag").agg(F.count("*").alias("rows"), F.count_distinct(F.nullif(F.trim("userId"), F.lit(""))).alias("users")).persist()
 
 
 def document_frequency(found: DataFrame) -> DataFrame:
