@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,11 +14,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of about so many bytes, whatever the Arrow batches hold.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+
+
+#: Bytes of an Arrow batch between Spark and its Python workers, in place of Spark's own larger bound.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, so that long texts don't add up in the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives unused memory back when a task ends, as workers live on and share an executor."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The named table below a data directory."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -54,30 +80,6 @@ def remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
-def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """Map each Arrow batch to zero or more tables given as {column: values}; the columns follow schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in work(batch):
-                yield to_batch(out, arrow)
-
-    return df.mapInArrow(run, schema)
-
-
-def to_batch(out: dict, arrow: pa.Schema) -> pa.RecordBatch:
-    """A record batch of the given schema from {column: list, numpy array or Arrow array}."""
-    arrays = []
-    for field in arrow:
-        v = out[field.name]
-        arrays.append(v.cast(field.type) if isinstance(v, pa.Array) else pa.array(v, type=field.type, from_pandas=False))
-    return pa.RecordBatch.from_arrays(arrays, schema=arrow)
-
-
 def chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each (one row at least)."""
     if not batch.num_rows:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import chunks, texts
+from recospark.llm.common import chunks, texts, tidy
 from recospark.llm.shingles import Rolling, word_hashes
 
 #: Bins for each shingle of a partition's largest document; bytes of items in a block; partitions (powers of two).
@@ -144,7 +144,7 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, thresho
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
 
         # A block without rows of null ids keeps the declared types.
-        part = rows.mapInArrow(_typed(run), "doc_id long, item_id long, n_shared long, n_shingles long, containment double")
+        part = rows.mapInArrow(tidy(_typed(run)), "doc_id long, item_id long, n_shared long, n_shingles long, containment double")
         out = part if out is None else out.union(part)
     return out
 
@@ -173,5 +173,5 @@ def without_items(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold
                     kept = [next(index.verified(t.lower().split(), threshold), None) is None for t in texts(part)]
                     yield pa.RecordBatch.from_arrays(part.filter(pa.array(kept, pa.bool_())).columns, schema=arrow)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

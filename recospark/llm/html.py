@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import checkpoint, chunks
+from recospark.llm.common import checkpoint, chunks, tidy
 
 #: A template occurs in so many different pages of its host, and in this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
@@ -203,7 +203,7 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
                     hashes += found
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "hash"])
 
-    seen = pages.select(F.col(html).alias("html"), _host(F.col(url)).alias("host")).mapInArrow(run, "host string, page long, hash long")
+    seen = pages.select(F.col(html).alias("html"), _host(F.col(url)).alias("host")).mapInArrow(tidy(run), "host string, page long, hash long")
     counted = seen.distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
     often = counted.filter((F.col("n") >= MIN_PAGES))
     hosts = often.filter(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
@@ -237,4 +237,4 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str =
             said = [main_text(parse(x), set(h or ())) for x, h in zip(columns[html].to_pylist(), batch.column("hashes").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(said, pa.string())], schema=arrow)
 
-    return joined.select("row", "hashes").mapInArrow(run, schema)
+    return joined.select("row", "hashes").mapInArrow(tidy(run), schema)

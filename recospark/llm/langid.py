@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import chunks
+from recospark.llm.common import chunks, tidy
 
 UNDETERMINED = "und"
 #: Training bounds: symbols in all and in a language, documents drawn for a language, characters of a drawn document.
@@ -210,7 +210,7 @@ def sample(df: DataFrame, learn: Column) -> dict[str, list[str]]:
 
 
 def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep`, lang_pred, score (0 to 1) and bits (cost in bits a symbol) of each row."""
+    """The columns `keep`, lang_pred, score (0 to 1) and bits (cost in bits a symbol) of each row; keep has none of these."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -225,4 +225,4 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 names, margin, bits = identify(shared.value, part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(margin), pa.array(bits)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidy(run), schema)

@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import chunks, texts
+from recospark.llm.common import chunks, texts, tidy
 
 #: Sizes of windows; tokens of a step group, in longest windows; documents packed together; words whose ids are kept.
-TIERS, STEP_WINDOWS, RUN, REMEMBERED = (256, 512, 1024, 2048), 8, 4096, 800_000
+TIERS, STEP_WINDOWS, RUN, REMEMBERED = (256, 512, 1024, 2048), 8, 2048, 800_000
 #: The id that ends every document.
 END = 1
 
@@ -66,8 +66,8 @@ class Words:
         self.flat, self.starts = np.array([END], np.uint32), np.array([0, 1], np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        for a in range(0, len(words), 50_000):
-            part = words[a : a + 50_000]
+        for a in range(0, len(words), 10_000):
+            part = words[a : a + 10_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
             self.number.update(zip(part, range(len(self.number) + 1, len(self.number) + 1 + len(part)), strict=True))
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
@@ -195,7 +195,7 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
         if ids:
             yield packed()
 
-    return df.select(id_col, text).mapInArrow(run, schema)
+    return df.select(id_col, text).mapInArrow(tidy(run), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

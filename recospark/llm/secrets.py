@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import chunks
+from recospark.llm.common import chunks, tidy
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -213,7 +213,7 @@ def _compiled(rule: Rule) -> re.Pattern:
 def find(batch: pa.RecordBatch, column: str, rules: tuple[Rule, ...], index: Index, queries: list, compiled: list) -> list[list[tuple[int, int, int]]]:
     """Each text's spans as (start, number of the rule, end), sorted."""
     found: list[list[tuple[int, int, int]]] = []
-    for part in chunks(batch, column):
+    for part in chunks(batch, column, 2 << 20):
         values = part.column(column).to_pylist()
         raw = [x.encode() if x else b"" for x in values]
         ends = np.cumsum([len(x) for x in raw])
@@ -254,7 +254,7 @@ def scan(df: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES, r
             spans = [[{"kind": rules[n].kind, "start": s, "end": e} for s, n, e in x] for x in found]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, arrow.field(into).type)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _redacted(text: str, spans: list[tuple[int, int, int]], by: str) -> str:

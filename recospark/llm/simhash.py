@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import checkpoint, chunks, texts
+from recospark.llm.common import checkpoint, chunks, texts, tidy
 from recospark.llm.components import stars
 
 #: Blocks of a fingerprint; fingerprints in a bucket that are compared at once; times a crowded bucket is dealt anew.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, views: int = 1, distinct: bo
                 fps = [[fingerprint(x, shingle, 42 + v, distinct) for v in range(views)] for x in texts(part)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, fps array<long>")
 
 
 @lru_cache(maxsize=4096)
@@ -151,7 +151,8 @@ def _dealt_anew(distance: int):
 
 def close_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Links (u, v) that connect distinct fingerprints (column fp) just as all pairs within the distance do."""
-    rows = fps.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks(0, distance)])).alias("mask"), "fp")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.repartition(tasks, "fp").select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks(0, distance)])).alias("mask"), "fp")
     parts = []
     for depth in range(DEEPER + 1):
         rows = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
@@ -162,10 +163,10 @@ def close_links(fps: DataFrame, distance: int = 4) -> DataFrame:
             crowds = 0
         calm = rows.join(crowded, ["mask", "key"], "left_anti") if crowds else rows
         dealt = calm.repartition("mask", "key").sortWithinPartitions("mask", "key")
-        parts.append(dealt.select("mask", "key", "fp").mapInArrow(_buckets(distance), "u long, v long"))
+        parts.append(dealt.select("mask", "key", "fp").mapInArrow(tidy(_buckets(distance)), "u long, v long"))
         if not crowds:
             break
-        rows = rows.join(crowded, ["mask", "key"], "left_semi").select("mask", "fp").mapInArrow(_dealt_anew(distance), "mask long, fp long").distinct()
+        rows = rows.join(crowded, ["mask", "key"], "left_semi").select("mask", "fp").mapInArrow(tidy(_dealt_anew(distance)), "mask long, fp long").distinct()
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import checkpoint, chunks
+from recospark.llm.common import checkpoint, chunks, tidy
 
 N_GRAMS, BITS, FEATURES = (4, 6, 8), 20, 1024
 #: Labelled documents learned from at most, and the tasks that count them.
@@ -94,7 +94,7 @@ def fit(sample: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([counts.astype(np.uint16).tobytes()]), pa.array([seen[0]]), pa.array([seen[1]])], ["counts", "n0", "n1"])
 
     counts, n0, n1 = np.zeros((2, 1 << BITS)), 0, 0
-    for row in sample.mapInArrow(count, "counts binary, n0 long, n1 long").collect():
+    for row in sample.mapInArrow(tidy(count), "counts binary, n0 long, n1 long").collect():
         counts += np.frombuffer(row.counts, np.uint16).reshape(2, -1)
         n0, n1 = n0 + row.n0, n1 + row.n1
     nothing = np.full(1 << BITS, -1, np.int16)
@@ -115,7 +115,7 @@ def fit(sample: DataFrame) -> Model:
             own = [shared.value.present(x).astype(np.int16).tobytes() for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1).cast(pa.int32())], ["features", "toxic"])
 
-    rows = sample.mapInArrow(features, "features binary, toxic int").collect()
+    rows = sample.mapInArrow(tidy(features), "features binary, toxic int").collect()
     x, y = np.zeros((len(rows), len(chosen)), np.float32), np.array([r.toxic for r in rows], np.float64)
     for i, r in enumerate(rows):
         own = np.frombuffer(r.features, np.int16)
@@ -141,4 +141,4 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", into
                 scores = [shared.value.score(x) for x in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(scores, pa.float64())], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidy(run), schema)
