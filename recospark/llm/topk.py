@@ -8,7 +8,7 @@ and a merge over all blocks gives the exact answer.
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, and neither does a null
 id; an empty vector scores 0 against all. Rows that share an id are copies of one vector: none is a candidate of that
 id, and of the copies the least vector is the query. An empty table gives no rows. Scores are exact as long as they
-fit a signed 64-bit integer; a larger one is clamped to that range.
+fit a signed 64-bit integer; a larger one is clamped to that range before it is ranked.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recospark.llm.common import tidy
+
 #: Rows in a block of candidates or queries, and queries that are scored at once.
 BLOCK, QUERY_BLOCK, TILE = 4096, 1024, 64
 #: Terms that are present in over this share of a block are held as dense postings.
@@ -98,7 +100,7 @@ def _accumulate(queries: dict, n: int, postings: dict, m: int, kind) -> np.ndarr
         else:
             rows = np.arange(n) if qr is None else qr
             scores[np.ix_(rows, dr)] += np.multiply.outer(qw, dw)
-    return scores
+    return np.clip(scores, LEAST, MOST).astype(np.int64) if kind is object else scores
 
 
 def _tiles(postings: dict, n: int) -> Iterator[tuple[int, int, dict]]:
@@ -121,7 +123,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         kept = scores >= cut
         scores, ids = scores[kept], ids[kept]
-    order = np.lexsort((ids, [-int(x) for x in scores] if scores.dtype == object else -scores.astype(np.int64)))[:k]
+    order = np.lexsort((ids, ~scores.astype(np.int64)))[:k]
     return scores[order], ids[order]
 
 
@@ -144,8 +146,8 @@ def search(df: DataFrame, id_col: str, vector_col: str, k: int, query_filter, sc
 
         return run
 
-    queries = asked.mapInArrow(pack(QUERY_BLOCK), packed).select(F.struct("*").alias("q"), F.xxhash64("ids").alias("q_block"))
-    candidates = rows.mapInArrow(pack(BLOCK), packed).select(F.struct("*").alias("c"), (F.abs(F.xxhash64("ids")) % SPREAD).cast("int").alias("salt"))
+    queries = asked.mapInArrow(tidy(pack(QUERY_BLOCK)), packed).select(F.struct("*").alias("q"), F.xxhash64("ids").alias("q_block"))
+    candidates = rows.mapInArrow(tidy(pack(BLOCK)), packed).select(F.struct("*").alias("c"), (F.abs(F.xxhash64("ids")) % SPREAD).cast("int").alias("salt"))
     # Every candidate block meets every query block: the candidates' blocks are dealt over SPREAD salts, the query blocks go to each.
     met = candidates.join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), "salt").select("q_block", "q", "c")
 
@@ -161,7 +163,7 @@ def search(df: DataFrame, id_col: str, vector_col: str, k: int, query_filter, sc
                         [
                             pa.array(np.repeat([q for q, _, _ in lists], [len(s) for _, s, _ in lists]).astype(np.int64)),
                             pa.array(np.concatenate([d for *_, d in lists]).astype(np.int64)),
-                            pa.array([min(max(int(x), LEAST), MOST) for _, s, _ in lists for x in s], pa.int64()),
+                            pa.array(np.concatenate([s for _, s, _ in lists]).astype(np.int64)),
                         ],
                         ["query_id", "vec_id", "score"],
                     )
@@ -190,6 +192,6 @@ def search(df: DataFrame, id_col: str, vector_col: str, k: int, query_filter, sc
                         tops[i] = (s, d) if len(s) else None
         yield from out()
 
-    found = met.mapInArrow(score, "query_id long, vec_id long, score long")
+    found = met.mapInArrow(tidy(score), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
