@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import CHUNK_BYTES, chunks, texts
+from recospark.llm.common import chunks, texts, tidy
 from recospark.llm.shingles import BASES, Rolling, word_hashes
 
 #: The window, and a perfect difference set: each residue but 0 is the difference of one pair.
 WINDOW, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
+#: Anchors or windows of a run of documents, within which repeats are settled at once.
+SETTLED = 1_000_000
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +51,14 @@ def _range_of_docs(docs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.
     return np.minimum.reduceat(docs, starts)[group], np.maximum.reduceat(docs, starts)[group]
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a document's anchors."""
-    n = len(words)
+def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a document's anchors, from the hashes of its words."""
+    n = len(hashes)
     if n < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     places = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
     places = places[places + ANCHOR <= n]
-    return Rolling(word_hashes(words)).at(places, ANCHOR).view(np.int64), places.astype(np.int32)
+    return Rolling(hashes).at(places, ANCHOR).view(np.int64), places.astype(np.int32)
 
 
 def _stacked(parts: list[tuple], kinds: tuple) -> list[np.ndarray]:
@@ -64,30 +66,38 @@ def _stacked(parts: list[tuple], kinds: tuple) -> list[np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc_id, place) of anchors; place is -1 - place if this run of documents shows that others share it."""
+    """(h, doc_id, place) of the first anchor of each hash in each document; place is -1 - place if this run of documents
+    shows that others share it."""
+    found, size = [], 0
     for batch in batches:
-        for part in chunks(batch, "text"):
-            found = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), texts(part), strict=True):
-                if doc is not None:
-                    h, places = anchors(text.split())
-                    found.append((h, np.full(len(h), doc, np.int64), places))
-            h, docs, places = _stacked(found, (np.int64, np.int64, np.int32))
-            if not len(h):
+        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            if doc is None:
                 continue
-            order, group = _groups(h, docs)
-            h, docs, places = h[order], docs[order], places[order]
-            _, group = np.unique(h, return_inverse=True)
-            least, most = _range_of_docs(docs, group)
-            known = least != most
-            first = np.diff(group, prepend=-1) != 0
-            sent = ~known | first  # one of a known group tells other runs of documents
-            # What is known needs no group any more and is spread evenly.
-            spread = (docs[known] * np.int64(1000003) + places[known]) * np.int64(0x5851F42D4C957F2D)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h[sent], spread])), pa.array(np.concatenate([docs[sent], docs[known]])), pa.array(np.concatenate([places[sent], -1 - places[known]]).astype(np.int32))],
-                ["h", "doc_id", "place"],
-            )
+            h, places = anchors(word_hashes(text.split()))
+            found.append((h, np.full(len(h), doc, np.int64), places))
+            size += len(h)
+            if size >= SETTLED:
+                yield from _sent(found)
+                found, size = [], 0
+    yield from _sent(found)
+
+
+def _sent(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """What a run of documents sends of its anchors (h, doc_id, place)."""
+    h, docs, places = _stacked(found, (np.int64, np.int64, np.int32))
+    if not len(h):
+        return
+    order, group = _groups(h, docs)
+    order = order[np.diff(group, prepend=-1) != 0]
+    h, docs, places = h[order], docs[order], places[order]
+    _, group = np.unique(h, return_inverse=True)
+    least, most = _range_of_docs(docs, group)
+    known = least != most
+    sent = ~known | (np.diff(group, prepend=-1) != 0)  # one of a known group tells other runs of documents
+    # What is known needs no group any more and is spread evenly.
+    spread = (docs[known] * np.int64(1000003) + places[known]) * np.int64(0x5851F42D4C957F2D)
+    columns = np.concatenate([h[sent], spread]), np.concatenate([docs[sent], docs[known]]), np.concatenate([places[sent], -1 - places[known]]).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc_id", "place"])
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +122,9 @@ def candidates(places: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(change)[: max(0, n - WINDOW + 1)] > 0)
 
 
-def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct starts as runs: first start and number."""
-    first = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
-    return starts[first], np.diff(np.append(first, len(starts)))
-
-
 def _settled(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, tag, doc_id, start, number) of a run of documents: windows to compare (number 0), and runs of known ones."""
+    """Rows (h, tag, doc_id, start, number) of a run of documents: runs of windows that are known to start in a smaller
+    document (number > 0), and runs of equal ones to compare (-number of them)."""
     h, tag, docs, starts = _stacked(found, (np.int64, np.int32, np.int64, np.int32))
     if not len(h):
         return
@@ -127,7 +132,11 @@ def _settled(found: list[tuple]) -> Iterator[pa.RecordBatch]:
     h, tag, docs, starts = h[order], tag[order], docs[order], starts[order]
     least, _ = _range_of_docs(docs, group)
     known = docs > least
-    out = [(h[~known], tag[~known], docs[~known], starts[~known], np.zeros((~known).sum(), np.int32))]
+    h, tag, d, s = (x[~known] for x in (h, tag, docs, starts))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (tag[1:] != tag[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
+    first = np.flatnonzero(new)
+    out = [(h[first], tag[first], d[first], s[first], -np.diff(np.append(first, len(h))).astype(np.int32))]
     if known.any():
         d, s = docs[known], starts[known]
         order = np.lexsort((s, d))
@@ -151,14 +160,15 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text, places in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("places").to_pylist(), strict=True):
             if doc is None or not places:
                 continue
-            words = text.split()
-            starts = candidates(np.array(places, np.int64), len(words))
+            hashes = word_hashes(text.split())
+            # Anchors of one hash are shared together.
+            h, at = anchors(hashes)
+            starts = candidates(at[np.isin(h, h[np.isin(at, places)])].astype(np.int64), len(hashes))
             if len(starts):
-                hashes = word_hashes(words)
                 h, other = (Rolling(hashes, b).at(starts, WINDOW) for b in BASES)
                 found.append((h.view(np.int64), (other >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
                 size += len(starts)
-            if size * 24 > CHUNK_BYTES * 2:
+            if size >= SETTLED:
                 yield from _settled(found)
                 found, size = [], 0
     yield from _settled(found)
@@ -170,12 +180,12 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     h, tag, docs, starts, number = _stacked(parts, (np.int64, np.int32, np.int64, np.int32, np.int32))
     known = number > 0
     yield pa.RecordBatch.from_arrays([pa.array(docs[known]), pa.array(starts[known]), pa.array(number[known])], ["doc_id", "start", "number"])
-    h, tag, docs, starts = h[~known], tag[~known], docs[~known], starts[~known]
+    h, tag, docs, starts, number = (x[~known] for x in (h, tag, docs, starts, number))
     if len(h):
         order, group = _groups(h, tag)
         least, _ = _range_of_docs(docs[order], group)
         kept = order[docs[order] > least]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[kept]), pa.array(starts[kept]), pa.array(np.ones(len(kept), np.int32))], ["doc_id", "start", "number"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs[kept]), pa.array(starts[kept]), pa.array(-number[kept])], ["doc_id", "start", "number"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +212,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kept (the words that stay, joined by a space), n_words and n_removed of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    anchored = rows.mapInArrow(_anchor_rows, "h long, doc_id long, place int").repartition("h")
-    shared = anchored.mapInArrow(_shared_anchors, "doc_id long, place int")
+    anchored = rows.mapInArrow(tidy(_anchor_rows), "h long, doc_id long, place int").repartition("h")
+    shared = anchored.mapInArrow(tidy(_shared_anchors), "doc_id long, place int")
     places = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     # Both joins are left joins of the same rows, so that the texts are exchanged once.
     windows = rows.join(places.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "places")
-    compared = windows.mapInArrow(_window_rows, "h long, tag int, doc_id long, start int, number int").repartition("h")
-    repeated = compared.mapInArrow(_repeated_windows, "doc_id long, start int, number int")
+    compared = windows.mapInArrow(tidy(_window_rows), "h long, tag int, doc_id long, start int, number int").repartition("h")
+    repeated = compared.mapInArrow(tidy(_repeated_windows), "doc_id long, start int, number int")
     removed = repeated.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("number").alias("numbers"))
     marked = rows.join(removed.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts", "numbers")
-    return marked.mapInArrow(_kept, "doc_id long, kept string, n_words long, n_removed long")
+    return marked.mapInArrow(tidy(_kept), "doc_id long, kept string, n_words long, n_removed long")

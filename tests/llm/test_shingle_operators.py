@@ -69,7 +69,7 @@ def test_cover():
     assert {(a - b) % v for a in substrings.COVER for b in substrings.COVER} == set(range(v))
 
 
-@pytest.mark.parametrize("run", [None, 3000])
+@pytest.mark.parametrize("run", [None, 300])
 def test_substrings(spark, monkeypatch, run):
     rng = random.Random(13)
     passages = [text(rng, rng.randint(40, 130)) for _ in range(6)]
@@ -82,11 +82,7 @@ def test_substrings(spark, monkeypatch, run):
     docs += [(200, docs[5][1]), (201, None), (202, ""), (None, passages[0]), (203, "same " * 500), (204, "same " * 80), (200, docs[5][1])]
     frame = spark.createDataFrame([(d, t, 1, "h") for d, t in docs], "doc_id long, text string, n_words int, h string").repartition(6)
     if run:
-        import functools
-
-        # Smaller runs of documents settle less by themselves.
-        monkeypatch.setattr(substrings, "CHUNK_BYTES", run)
-        monkeypatch.setattr(substrings, "chunks", functools.partial(substrings.chunks, most=run))
+        monkeypatch.setattr(substrings, "SETTLED", run)  # shorter runs of documents settle less by themselves
     got = sorted((r.doc_id is None, r.doc_id or 0, r.kept, r.n_words, r.n_removed) for r in substrings.remove_repeats(frame).collect())
 
     least = {}
