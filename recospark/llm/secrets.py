@@ -43,13 +43,23 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: A PEM key's edges, and its body after the first: headers, then base64 up to the END line, or where that is missing up to
+#: the last base64 line (a short last one only if padded or alone on its line). Line breaks may be spaces or escaped.
+_PEM = r"-----{edge} (?:[A-Z]{{1,16}} ){{0,3}}PRIVATE KEY-----"
+_BREAK, _BASE64 = r"(?:\s|\\[nr])", "[A-Za-z0-9+/]"
+_PEM_BODY = (
+    rf"(?:{_BREAK}*+(?:[A-Za-z][A-Za-z0-9-]{{0,63}}:\x20[^\s\\]++{_BREAK}++)*+"
+    rf"(?:(?:[A-Za-z0-9+/=]|{_BREAK})*+{_PEM.format(edge='END')}"
+    rf"|{_BASE64}{{16,}}+={{0,2}}(?:{_BREAK}++{_BASE64}{{16,}}+={{0,2}})*+"
+    rf"(?:{_BREAK}++{_BASE64}++={{1,2}}|(?:\r?\n|\\n){_BASE64}++(?=[\x20\t\r]*(?:\n|\Z)|[\\\"']))?))?"
+)
 #: Fixed public formats of credentials that the base kinds do not cover.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,255}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]{1,16} ){0,3}PRIVATE KEY-----"),
+    Rule("private_key", _PEM.format(edge="BEGIN") + _PEM_BODY),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     Rule("url_login", r"[a-z]{2,10}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
 )

@@ -51,3 +51,26 @@ def test_queries():
     assert secrets.trigram_query("[0-9a-f]+") is True
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", frozenset({b"aki", b"kia"}))
     assert secrets.trigram_query("abcd|xyz") == ("or", frozenset({b"xyz", ("and", frozenset({b"abc", b"bcd"}))}))
+
+
+def redacted(text):
+    import pyarrow as pa
+
+    index = secrets.Index(queries := [secrets.trigram_query(r.pattern) for r in secrets.RULES])
+    spans = secrets.find(pa.RecordBatch.from_pydict({"text": [text]}), "text", secrets.RULES, index, queries, [secrets._compiled(r) for r in secrets.RULES])
+    return secrets._redacted(text, spans[0], "[X]")
+
+
+def test_private_key_with_its_body():
+    lines = [("Qw+/Zz" * 11)[:64]] * 5 + ["Qw/Zzz9="]
+    for label in ("", "RSA ", "ENCRYPTED "):
+        begin, end = f"-----BEGIN {label}PRIVATE KEY-----", f"-----END {label}PRIVATE KEY-----"
+        for sep in ("\n", "\r\n", " ", "\\n"):
+            assert redacted(f"a {sep.join([begin, *lines, end])} some words") == "a [X] some words"
+            assert redacted(f"a {sep.join([begin, *lines])}\nsome words") == "a [X]\nsome words"
+        headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123ABCD", ""]
+        assert redacted("a " + "\n".join([begin, *headers, *lines, end]) + "\nb") == "a [X]\nb"
+        assert redacted("a " + "\n".join([begin, *lines[:5], "Qw9z"]) + "\nsome words") == "a [X]\nsome words"
+        assert redacted(f"a {begin} some words, and more") == "a [X] some words, and more"
+    both = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    assert redacted(f"{both} prose, between {both}") == "[X] prose, between [X]"
