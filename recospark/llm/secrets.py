@@ -55,13 +55,13 @@ _PEM_BODY = (
 )
 #: Fixed public formats of credentials that the base kinds do not cover.
 MORE = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}+"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,255}"),
+    Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}+"),
     Rule("private_key", _PEM.format(edge="BEGIN") + _PEM_BODY),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
-    Rule("url_login", r"[a-z]{2,10}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("url_login", r"[a-z]{2,10}://[^\s:/@]++:[^\s:/@]++@"),
 )
 RULES = BASE + MORE
 

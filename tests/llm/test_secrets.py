@@ -74,3 +74,9 @@ def test_private_key_with_its_body():
         assert redacted(f"a {begin} some words, and more") == "a [X] some words, and more"
     both = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
     assert redacted(f"{both} prose, between {both}") == "[X] prose, between [X]"
+
+
+def test_long_tokens_whole():
+    for token in ("ghp_" + "a1" * 300, "xoxb-" + "1a-" * 200, "sk_live_" + "Zz9" * 200):
+        assert redacted(f"a {token} b") == "a [X] b"
+    assert redacted(f"see ftp://{'u' * 90}:{'P!' * 90}@host now") == "see [X]host now"
