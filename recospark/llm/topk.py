@@ -134,7 +134,9 @@ def search(df: DataFrame, id_col: str, vector_col: str, k: int, query_filter, sc
     floor(scale * x), x as double; None takes floor(x).
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    asked = df.filter(query_filter).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("vector"))
+    # Copies that take no part must not stand for their id: neither a null component nor a non-finite one is below infinity.
+    valid = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    asked = df.filter(query_filter).filter(valid).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("vector"))
     packed = "ids binary, terms binary, rows binary, weights binary, big boolean"
 
     def pack(size: int):

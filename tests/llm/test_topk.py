@@ -40,3 +40,14 @@ def test_empty_and_fewer_than_k(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(frame, "vec_id", "embedding", 20, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2)]
     assert topk.search(frame.limit(0), "vec_id", "embedding", 20, F.col("vec_id") == 0).count() == 0
+
+
+def test_invalid_copies_of_a_query(spark):
+    bad = [None, [None, 1.0], [-math.inf, 1.0], [float("nan"), 1.0], [0.0, None]]
+    rows = [(20 * i, v) for i, b in enumerate(bad) for v in (b, [1.0, 2.0])] + [(1, [1.0, 1.0]), (2, [3.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = {}
+    for r in topk.search(frame, "vec_id", "embedding", 3, F.col("vec_id") % 20 == 0, scale=64.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute(rows, 3, 64.0)
+    assert set(got) == {0, 20, 40, 60, 80}
