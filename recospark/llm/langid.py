@@ -5,8 +5,9 @@ automaton: a phrase runs as long as some training text holds it and ends at the
 next one starts. The language with the smallest cost, phrases * log2(training length) / symbols, wins. Texts are parsed
 in runs of RUN symbols, so that the runs of many texts step through the automata together; every run begins a new phrase.
 
-Symbols: letters folded to lower case that the sample holds often enough; every other character is one space, and
-stretches of spaces are one symbol.
+Symbols: letters folded to lower case that a language's own sample holds often enough; its other letters are one symbol,
+every other character is one space, and stretches of spaces are one symbol. Each language has an alphabet of its own, so
+that no script takes another's letters. Every language that is labelled is learned; of long texts an excerpt is.
 
 Defined results: a text that is null, or without a letter, is "und" with score 0, as is every text if nothing was
 learned; repeated rows get the same answer each; equal costs go to the language first in alphabetical order; an empty
@@ -30,8 +31,10 @@ from recospark.llm.common import chunks, tidy
 UNDETERMINED = "und"
 #: Training bounds: symbols in all and in a language, documents drawn for a language, characters of a drawn document.
 MOST_SYMBOLS, LANGUAGE_SYMBOLS, DRAWN, DRAWN_CHARS = 160_000, 40_000, 96, 8_000
-#: Letters in the alphabet at most, symbols in a run, languages at most.
-LETTERS, RUN, LANGUAGES = 62, 1024, 64
+#: Symbols that a language is learned from however many languages there are, symbols in a run.
+LEAST_SYMBOLS, RUN = 2_000, 1024
+#: A language's letters with a column of their own in its table, by frequency; transitions by others are searched.
+COLUMNS = 62
 
 
 @lru_cache(maxsize=1)
@@ -54,8 +57,8 @@ def letters(text: str) -> np.ndarray:
     return x[keep]
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of a string as rows of next states; -1: none. Row 0 is the root."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of a string: each state's next states by symbol. State 0 is the root."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -81,61 +84,85 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nexts), width), -1, np.int32)
-    for state, out in enumerate(nexts):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return nexts
 
 
 @dataclass
 class Model:
-    """Stacked automata: next offsets (0: none), each language's root, log2 of its training length, and the alphabet."""
+    """Stacked automata: next offsets (0: none), each language's root, log2 of its training length, and all letters.
+
+    columns: each language's column of a symbol in its table; 1, always empty, for letters that it has no column for.
+    start: where a symbol leads from each language's root (the root: nowhere). keys and nexts: the transitions without a
+    column, as sorted offset * symbols + symbol and next offset.
+    """
 
     languages: list[str]
     alphabet: np.ndarray
     table: np.ndarray
     roots: np.ndarray
     bits: np.ndarray
+    columns: np.ndarray
+    start: np.ndarray
+    keys: np.ndarray
+    nexts: np.ndarray
 
     @property
     def width(self) -> int:
         return len(self.alphabet) + 2
 
+    @property
+    def kind(self) -> type:
+        return np.uint8 if self.width <= 1 << 8 else np.uint16 if self.width <= 1 << 16 else np.uint32
+
     def symbols(self, text: str) -> np.ndarray:
-        """0: a space, 1: a letter outside the alphabet, else a letter."""
+        """0: a space, 1: a letter that no language was learned with, else a letter."""
         x = letters(text)
         if not len(self.alphabet):
-            return (x != 0).astype(np.uint8)
+            return (x != 0).astype(self.kind)
         at = np.minimum(np.searchsorted(self.alphabet, x), len(self.alphabet) - 1)
-        return np.where(x == 0, 0, np.where(self.alphabet[at] == x, at + 2, 1)).astype(np.uint8)
+        return np.where(x == 0, 0, np.where(self.alphabet[at] == x, at + 2, 1)).astype(self.kind)
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
     """A model from each language's sample of texts."""
     languages = sorted(samples)
-    counted = Counter()
-    for language in languages:
-        for text in samples[language]:
-            x, n = np.unique(letters(text), return_counts=True)
-            counted.update(dict(zip(x.tolist(), n.tolist(), strict=True)))
-    counted.pop(0, None)
-    alphabet = np.array(sorted(c for c, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]), np.uint32)
-    model = Model(languages, alphabet, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
-    tables, roots, bits, base, width = [np.zeros(model.width, np.int32)], [], [], model.width, model.width
-    most = min(LANGUAGE_SYMBOLS, MOST_SYMBOLS // max(1, len(languages)))
-    for language in languages:
+    seen = [np.unique(letters(text)) for language in languages for text in samples[language]]
+    alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *seen]))[1:]
+    width = len(alphabet) + 2
+    columns, start = np.ones((len(languages), width), np.int64), np.zeros((len(languages), width), np.int64)
+    none = np.zeros(0, np.int64)
+    model = Model(languages, alphabet, none, none, np.zeros(0), columns, start, none, none)
+    most = min(LANGUAGE_SYMBOLS, max(LEAST_SYMBOLS, MOST_SYMBOLS // max(1, len(languages))))
+    tables, roots, bits, base, far = [np.zeros(COLUMNS + 2, np.int32)], [], [], COLUMNS + 2, []
+    for number, language in enumerate(languages):
         learned: list[int] = []
         for text in samples[language]:
             if len(learned) < most:
                 learned += [*model.symbols(text).tolist(), 0]
         learned = learned[:most]
-        table = automaton(learned, width)
+        counted = Counter(c for c in learned if c)
+        near = [c for c, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:COLUMNS]]
+        own = {0: 0, **{c: i + 2 for i, c in enumerate(near)}}
+        size = len(near) + 2
+        states = automaton(learned)
+        table = np.zeros((len(states), size), np.int32)
+        for state, out in enumerate(states):
+            for c, to in out.items():
+                if c in own:
+                    table[state, own[c]] = base + to * size
+                else:
+                    far.append(((base + state * size) * width + c, base + to * size))
+        columns[number, list(own)] = list(own.values())
+        start[number] = base
+        for c, to in states[0].items():
+            start[number, c] = base + to * size
         roots.append(base)
         bits.append(np.log2(len(learned) + 2))
-        tables.append(np.where(table < 0, 0, table * width + base).astype(np.int32).ravel())
+        tables.append(table.ravel())
         base += table.size
     model.table, model.roots, model.bits = np.concatenate(tables), np.array(roots, np.int64), np.array(bits)
+    if far:
+        model.keys, model.nexts = np.array(sorted(far), np.int64).T.copy()
     return model
 
 
@@ -144,20 +171,24 @@ def phrases(model: Model, runs: list[np.ndarray]) -> np.ndarray:
     order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
     lengths = np.array([len(runs[i]) for i in order])
     steps = int(lengths[0]) if len(lengths) else 0
-    grid = np.zeros((len(runs), steps), np.uint8)
+    grid = np.zeros((len(runs), steps), model.kind)
     for k, i in enumerate(order):
         grid[k, : len(runs[i])] = runs[i]
     grid = np.ascontiguousarray(grid.T)
     active = np.searchsorted(-lengths, -np.arange(steps), "left")
     count = np.zeros((len(model.languages), len(runs)), np.int32)
     state = np.repeat(model.roots[:, None], len(runs), 1)
-    # From the root: the next offset, or the root itself for a symbol that the language never has.
-    start = model.table[model.roots[:, None] + np.arange(model.width)].astype(np.int64)
-    start = np.where(start == 0, model.roots[:, None], start)
+    start, columns = model.start, model.columns
+    searched = np.zeros(model.width, bool)
+    searched[model.keys % model.width] = True
     for t in range(steps):
         n = active[t]
         symbol = grid[t, :n].astype(np.int64)
-        to = model.table.take(state[:, :n] + symbol)
+        to = model.table.take(state[:, :n] + columns.take(symbol, 1))
+        if len(model.keys) and len(rare := np.flatnonzero(searched[symbol])):
+            wanted = state[:, rare] * model.width + symbol[rare]
+            at = np.minimum(np.searchsorted(model.keys, wanted), len(model.keys) - 1)
+            to[:, rare] = np.where(model.keys[at] == wanted, model.nexts[at], to[:, rare])
         broken = to == 0
         count[:, :n] += broken
         state[:, :n] = np.where(broken, start.take(symbol, 1), to)
@@ -170,7 +201,7 @@ def identify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
     """Each text's language, the margin by which it wins (0 to 1), and its cost in bits a symbol."""
     runs, owner, sizes = [], [], np.zeros(len(texts))
     for i, text in enumerate(texts):
-        x = model.symbols(text) if text and model.languages else np.zeros(0, np.uint8)
+        x = model.symbols(text) if text and model.languages else np.zeros(0, model.kind)
         if x.any():
             sizes[i] = len(x)
             parts = [x[a : a + RUN] for a in range(0, len(x), RUN)]
@@ -192,15 +223,16 @@ def identify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
 
 
 def sample(df: DataFrame, learn: Column) -> dict[str, list[str]]:
-    """A bounded sample of labelled texts: for each language, those of the smallest id hashes."""
-    known = df.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    """A bounded sample of labelled texts: for each language, those of the smallest id hashes, of long ones an excerpt."""
+    known = df.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * DRAWN / n))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.filter((place < shares[F.col("lang")]) & F.col("text").rlike(r"\p{L}") & (F.length("text") <= DRAWN_CHARS))
-    rows = drawn.select("lang", "text", place.alias("place")).orderBy("place", "text").limit(3 * DRAWN * len(counts)).collect()
+    drawn = known.filter(place < shares[F.col("lang")])
+    excerpt = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, DRAWN_CHARS)
+    rows = drawn.select("lang", excerpt.alias("text"), place.alias("place")).orderBy("place", "text").limit(3 * DRAWN * len(counts)).collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         own = out.setdefault(r.lang, [])

@@ -51,3 +51,21 @@ def test_nothing_learned_and_empty(spark):
     model = langid.fit(langid.sample(docs, F.lit(True)))
     assert [tuple(r)[:3] for r in langid.predict(docs, model, ["doc_id"]).collect()] == [(1, "und", 0.0)]
     assert langid.predict(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_all_languages_scripts_and_long_texts(spark):
+    """More languages than 64, scripts of over 62 letters in all, and a language of long texts alone."""
+    rng = random.Random(4)
+    starts = [0x61, 0x3B1, 0x430, 0x561, 0x5D0, 0x10D0]
+    alike = {"zh1": range(0x4E00, 0x4E80), "zh2": range(0x5000, 0x5080)}
+    letters = {f"l{i:02}": [chr(starts[i % 6] + rng.randrange(22)) for _ in range(5)] for i in range(72)} | {k: [chr(c) for c in v] for k, v in alike.items()}
+    said = lambda k, n: " ".join("".join(rng.choices(letters[k], k=4)) for _ in range(n))
+    rows = [(k, said(k, 2500 if k == "l07" else 60)) for k in letters for _ in range(6)] + [("l07", "12 " + said("l07", 2500))]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(langid.sample(docs, F.lit(True)))
+    assert model.languages == sorted(letters) and len(model.keys)
+    held = [(k, said(k, 60)) for k in letters]
+    names, _, _ = langid.identify(model, [t for _, t in held])
+    assert sum(a == k for a, (k, _) in zip(names, held, strict=True)) >= 0.95 * len(held)
+    assert {a for a, (k, _) in zip(names, held, strict=True) if k in ("l07", "zh1", "zh2")} == {"l07", "zh1", "zh2"}
+    assert langid.fit({}).languages == []
