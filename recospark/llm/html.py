@@ -1,9 +1,8 @@
 """Main text of web pages by removing what a site repeats.
 
 Each page is parsed to a tree of its block elements and every container's subtree is hashed. Spark counts, for each host,
-in how many different pages a subtree occurs; subtrees in MIN_PAGES or more and in MIN_SHARE of the host's pages or more
-are the site's template, and are deleted along with elements that are no article text by their tag, class or role. Of
-what is left, the article (or main) elements are the text, or the body where a page has neither. Pages with the same
+in how many different pages a subtree occurs; subtrees in MIN_PAGES or more, however many pages the host has, are the
+site's template, and are deleted along with elements that are no article text by their tag, class or role. Of what is left, the article (or main) elements are the text, or the body where a page has neither. Pages with the same
 content count once, so that copies of an article are no template; neither is a paragraph, heading, table or quotation
 inside an article, nor an element that holds an article.
 
@@ -29,10 +28,11 @@ from pyspark.sql import functions as F
 
 from recospark.llm.common import checkpoint, chunks, tidy
 
-#: A template occurs in so many different pages of its host, and in this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
-#: Templates are broadcast up to this many; beyond, pages are joined to them over SALTS parts of each host.
-BROADCAST_ROWS, SALTS = 20_000, 32
+#: A template occurs in so many different pages of its host.
+MIN_PAGES = 5
+#: Templates are broadcast up to this many; beyond, each page is joined to those of its own subtrees that are templates,
+#: and copies of a page are dealt over SALTS parts.
+BROADCAST_ROWS, SALTS = 20_000, 4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*"|'[^']*'|[^"'<>])*+)>|<[!?/][^>]*>?|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -166,8 +166,8 @@ def subtrees(page: Page) -> set[int]:
     return out
 
 
-def main_text(page: Page, template: set[int]) -> str:
-    """The page's main text without the template's subtrees."""
+def _marked(page: Page, template: set[int]) -> tuple[list[bool], list[bool], bool]:
+    """For each element: is it deleted, and may its own text be main text; and does an article live."""
     own, holds = _articles(page)
     allowed = subtrees(page) & template if template else template
     dead, inside = [False] * len(own), [False] * len(own)
@@ -178,36 +178,57 @@ def main_text(page: Page, template: set[int]) -> str:
         dropped = tag in _DROPPED or (tag == "header" or "header" in marks and tag in _CONTAINERS) and not within or bool(marks & _MARKS)
         dead[i] = p >= 0 and dead[p] or not kept and (dropped or page.hashes[i] in allowed)
     living = any(o and not d for o, d in zip(own, dead, strict=True))
-    return "\n".join(said for i, said in page.blocks if (i < 0 and not living) or (i >= 0 and not dead[i] and (inside[i] or not living)))
+    return dead, [x or not living for x in inside], living
+
+
+def effective(page: Page) -> set[int]:
+    """Hashes of the elements that their tag, class or role leaves in the main text."""
+    dead, main, _ = _marked(page, set())
+    return {h for h, d, m in zip(page.hashes, dead, main, strict=True) if m and not d}
+
+
+def main_text(page: Page, template: set[int]) -> str:
+    """The page's main text without the template's subtrees."""
+    dead, main, living = _marked(page, template)
+    return "\n".join(said for i, said in page.blocks if (i < 0 and not living) or (i >= 0 and not dead[i] and main[i]))
 
 
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """host, hash: the subtrees that make up each host's template."""
+def _seen(pages: DataFrame, html: str, url: str) -> DataFrame:
+    """host, source (a hash of the html), page (a hash of its content) and hash of each subtree that may be a template;
+    alive: its deletion may change the page's main text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "html"):
-                hosts, digests, hashes = [], [], []
-                for text, host in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True):
+                hosts, sources, digests, hashes, alive = [], [], [], [], []
+                for text, host, source in zip(*(part.column(c).to_pylist() for c in ("html", "host", "source")), strict=True):
                     if not text:
                         continue
                     page = parse(text)
                     content = xxhash.xxh64("\n".join(t for _, t in page.blocks).encode("utf-8", "surrogatepass")).intdigest() - (1 << 63)
-                    found = [*subtrees(page), None]  # the last stands for the page
+                    found = subtrees(page)
                     hosts += [host] * len(found)
+                    sources += [source] * len(found)
                     digests += [content] * len(found)
                     hashes += found
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "hash"])
+                    left = effective(page)
+                    alive += [h in left for h in found]
+                columns = [pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (sources, digests, hashes)), pa.array(alive, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "source", "page", "hash", "alive"])
 
-    seen = pages.select(F.col(html).alias("html"), _host(F.col(url)).alias("host")).mapInArrow(tidy(run), "host string, page long, hash long")
-    counted = seen.distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    often = counted.filter((F.col("n") >= MIN_PAGES))
-    hosts = often.filter(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
-    return often.filter(F.col("hash").isNotNull()).join(hosts, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "hash")
+    rows = pages.select(F.col(html).alias("html"), _host(F.col(url)).alias("host"), F.xxhash64(html).alias("source"))
+    return rows.mapInArrow(tidy(run), "host string, source long, page long, hash long, alive boolean")
+
+
+def templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """host, hash: the subtrees of each host's template, but those that tags, classes and roles delete on all pages anyway."""
+    by_page = _seen(pages, html, url).groupBy("host", "page", "hash").agg(F.max("alive").alias("alive"))
+    counted = by_page.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("alive").alias("alive"))
+    return counted.filter((F.col("n") >= MIN_PAGES) & F.col("alive")).select("host", "hash")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str = "main_text") -> DataFrame:
@@ -218,14 +239,23 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str =
     if into in pages.columns:
         raise ValueError(f"there is a column {into} already")
     found = checkpoint(templates(pages, html, url))
-    # Every template subtree occurs in MIN_SHARE of its host's pages, so a host has few; how many hosts there are is checked.
-    by_host = found.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), _host(F.col(url)).alias("host"))
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(by_host), "host", "left")
+    few = found.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= BROADCAST_ROWS:
+        by_host: dict[str, set[int]] = {}
+        for r in few:
+            by_host.setdefault(r.host, set()).add(r.hash)
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+        joined = rows.select("row", "host", F.lit(None).cast("array<long>").alias("hashes"))
     else:
-        salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+        # A host may have any number of templates, a page only has those among its own subtrees.
+        shared = None
+        own = _seen(pages, html, url).filter("alive").select("host", "source", "hash").distinct().join(found, ["host", "hash"])
+        marked = own.groupBy("host", "source").agg(F.collect_list("hash").alias("hashes"))
+        salted = marked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("source", F.xxhash64(F.col("row")[html])).withColumn("salt", salt)
+        joined = joined.join(salted, ["host", "source", "salt"], "left").select("row", "host", "hashes")
     inner = pages.schema
     schema = StructType([*inner.fields]).add(into, "string")
     arrow = to_arrow_schema(schema)
@@ -234,7 +264,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str =
         for batch in batches:
             row = batch.column("row")
             columns = dict(zip([f.name for f in row.type], row.flatten(), strict=True))
-            said = [main_text(parse(x), set(h or ())) for x, h in zip(columns[html].to_pylist(), batch.column("hashes").to_pylist(), strict=True)]
+            if shared is not None:
+                template = [shared.value.get(h, set()) for h in batch.column("host").to_pylist()]
+            else:
+                template = [set(h or ()) for h in batch.column("hashes").to_pylist()]
+            said = [main_text(parse(x), t) for x, t in zip(columns[html].to_pylist(), template, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(said, pa.string())], schema=arrow)
 
-    return joined.select("row", "hashes").mapInArrow(tidy(run), schema)
+    return joined.select("row", "host", "hashes").mapInArrow(tidy(run), schema)

@@ -44,3 +44,14 @@ def test_templates(spark):
         assert {r.page_id: r.main_text for r in html.extract(pages).collect()} == got
     finally:
         html.BROADCAST_ROWS = kept
+
+
+def test_templates_of_a_large_host(spark, monkeypatch):
+    """A section's box and a rotating advert are template, however many other pages the host has."""
+    box, advert = "<section><p>Section menu</p></section>", "<div><p>Advert {0}</p></div>"
+    rows = [(i, f"http://big.example.com/{i}", page(i, ARTICLE.format(i).replace("</article>", (box if i < 6 else "") + advert.format(i % 16) + "</article>"))) for i in range(96)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for most in (html.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(html, "BROADCAST_ROWS", most)
+        got = {r.page_id: r.main_text for r in html.extract(pages).collect()}
+        assert got == {i: f"Title {i}\nFirst {i} & more.\nSecond para {i}." for i in range(96)}
