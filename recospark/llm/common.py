@@ -48,13 +48,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; set a local one only where none is named (tests)."""
+    """Use the cluster's shared spark.checkpoint.dir; only a local session (tests) gets a folder of its own where none is named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recospark-"))
 
 
+#: A key is hot if it holds more than one row in HOT; so there are fewer than HOT of them, and they may be broadcast.
+HOT = 1000
+
+
+def join_skewed(rows: DataFrame, named: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined to the one row of each key in `named`, whose column `count` is how many of the rows have the key.
+
+    Rows of hot keys stay where they are and get their match from a broadcast; all others are shuffled.
+    """
+    total = named.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(named.filter(F.col(count) * HOT > total).drop(count))
+    calm = named.filter(F.col(count) * HOT <= total).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(calm, key))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, which survives lost executors, and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -80,6 +97,11 @@ def remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each (one row at least)."""
     if not batch.num_rows:

@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import checkpoint, chunks, texts, tidy
+from recospark.llm.common import checkpoint, chunks, join_skewed, texts, tidy
 from recospark.llm.components import stars
 
 #: Blocks of a fingerprint; fingerprints in a bucket that are compared at once; times a crowded bucket is dealt anew.
-BLOCKS, CROWDED, DEEPER = 7, 4096, 2
+BLOCKS, CROWDED, DEEPER = 6, 4096, 2
 
 
 def fingerprint(text: bytes, shingle: int, seed: int = 42, distinct: bool = False) -> int:
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, views:
     views: so many fingerprints under other seeds; documents are linked if any of them are close.
     """
     own = checkpoint(fingerprints(docs, shingle, views, distinct, id_col, text))
-    copies = checkpoint(own.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("least")))
+    copies = checkpoint(own.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     links = close_links(copies.select("fp"), distance)
     for view in range(1, views):
         # Documents stand for each other by their first fingerprint, which those with another one in common share too.
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, views:
             close = close.join(nodes.select(F.col("other").alias(end), F.col("node").alias(f"{end}_node")), end)
         links = links.union(ties).union(close.select("u_node", "v_node"))
     roots = stars(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    grouped = copies.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = copies.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     leasts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpoint(grouped.join(leasts, "root").select("fp", "component_id"))
-    return own.select("doc_id", F.col("fps")[0].alias("fp")).join(named, "fp").select("doc_id", "fp", "component_id")
+    named = checkpoint(grouped.join(leasts, "root").select("fp", "component_id", "n"))
+    return join_skewed(own.select("doc_id", F.col("fps")[0].alias("fp")), named, "fp", "n").select("doc_id", "fp", "component_id")

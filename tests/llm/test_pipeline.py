@@ -91,6 +91,19 @@ def test_against_brute_force(spark, fixture):
         assert p.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))
 
 
+def test_clashing_columns(spark, fixture):
+    top, _, _ = fixture
+    docs = spark.read.parquet(f"{top}/documents.parquet")
+    more = docs
+    for name in ("score", "bits", "lang_pred", "spans", "row", "fp", "fps", "component_id", "key", "u", "n"):
+        more = more.withColumn(name, F.col("doc_id"))
+    for _, stage in cp.STAGES[:-1]:
+        more, docs = stage(spark, more, top), stage(spark, docs, top)
+        assert sorted(map(repr, [(r.doc_id, r.text) for r in more.collect()])) == sorted(map(repr, [(r.doc_id, r.text) for r in docs.collect()]))
+    assert more.select("score", "spans").filter("score != spans").count() == 0
+    assert sum(r.length for r in cp.pack(spark, more, top).collect()) == sum(r.length for r in cp.pack(spark, docs, top).collect())
+
+
 def test_empty(spark, fixture, tmp_path):
     top, _, _ = fixture
     for table in ("documents", "benchmark"):

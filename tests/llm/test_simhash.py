@@ -2,6 +2,8 @@
 
 import random
 
+from math import comb
+
 import numpy as np
 import xxhash
 
@@ -113,7 +115,10 @@ def test_crowded_buckets_lose_no_link(spark):
 
 
 def test_masks():
-    assert len(simhash.masks(0, 4)) == 35
+    """A table for each choice of blocks that pairs within the distance must share; a crowded bucket is dealt anew alike."""
+    tables = comb(simhash.BLOCKS, 4)
+    assert len(simhash.masks(0, 4)) == tables
     for m in simhash.masks(0, 4):
-        assert len(simhash.masks(m, 4)) == 35
-    assert np.all([(m & 2**64 - 1).bit_count() in (27, 28) for m in simhash.masks(0, 4)])
+        assert len(simhash.masks(m, 4)) == tables
+    kept = 64 * (simhash.BLOCKS - 4) // simhash.BLOCKS
+    assert np.all([(m & 2**64 - 1).bit_count() - kept in (0, 1) for m in simhash.masks(0, 4)])
