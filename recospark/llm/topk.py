@@ -1,9 +1,10 @@
 """Exact top-k inner-product search by exhaustive term-at-a-time accumulation.
 
 Rows are sparse: a zero component is no posting, and a missing one (a shorter vector) counts as zero. Queries and
-candidates are packed in blocks of bounded size; each pair of blocks meets once. In a block pair the query rows of
-each term scatter their weighted postings into a dense score array, a partition selection keeps each query's best,
-and a merge over all blocks gives the exact answer.
+candidates are packed in blocks of bounded size, and blocks are dealt to groups: every cell of the grid of query groups
+and candidate groups is one key. A cell's query blocks come first and are held while its candidate blocks stream by: the
+query rows of each term scatter their weighted postings into a dense score array, and a partition selection keeps each
+query's best. So a cell gives k rows for each of its queries, and a merge over the candidate groups gives the exact answer.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, and neither does a null
 id; an empty vector scores 0 against all. Rows that share an id are copies of one vector: none is a candidate of that
@@ -27,8 +28,8 @@ from recospark.llm.common import tidy
 BLOCK, QUERY_BLOCK, TILE = 4096, 1024, 64
 #: Terms that are present in over this share of a block are held as dense postings.
 DENSE = 0.25
-#: Copies of each query block, so that few query blocks still use many tasks.
-SPREAD = 32
+#: Queries and candidates in a group of the grid.
+QUERY_GROUP, CANDIDATE_GROUP = 8192, 1 << 18
 LEAST, MOST = -(2**63), 2**63 - 1
 
 
@@ -136,7 +137,13 @@ def search(df: DataFrame, id_col: str, vector_col: str, k: int, query_filter, sc
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     # Copies that take no part must not stand for their id: neither a null component nor a non-finite one is below infinity.
     valid = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
-    asked = df.filter(query_filter).filter(valid).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("vector"))
+    total, asking = df.agg(F.count("*"), F.count(F.when(query_filter, 1))).first()
+    query_groups = max(1, -(-asking // QUERY_GROUP))
+    # At least a cell for each core, as long as a group has a block.
+    least = min(-(-total // BLOCK), -(-df.sparkSession.sparkContext.defaultParallelism // query_groups))
+    candidate_groups = max(1, least, -(-total // CANDIDATE_GROUP))
+    ids = df.filter(query_filter).filter(valid).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    asked = ids.repartition(max(1, -(-asking // QUERY_BLOCK)), "id").groupBy("id").agg(F.min("vector").alias("vector"))
     packed = "ids binary, terms binary, rows binary, weights binary, big boolean"
 
     def pack(size: int):
@@ -148,18 +155,22 @@ def search(df: DataFrame, id_col: str, vector_col: str, k: int, query_filter, sc
 
         return run
 
-    queries = asked.mapInArrow(tidy(pack(QUERY_BLOCK)), packed).select(F.struct("*").alias("q"), F.xxhash64("ids").alias("q_block"))
-    candidates = rows.mapInArrow(tidy(pack(BLOCK)), packed).select(F.struct("*").alias("c"), (F.abs(F.xxhash64("ids")) % SPREAD).cast("int").alias("salt"))
-    # Every candidate block meets every query block: the candidates' blocks are dealt over SPREAD salts, the query blocks go to each.
-    met = candidates.join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), "salt").select("q_block", "q", "c")
+    def group(groups: int):
+        return F.pmod(F.xxhash64("ids"), F.lit(groups))
+
+    def each(groups: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+
+    queries = asked.mapInArrow(tidy(pack(QUERY_BLOCK)), packed).select(group(query_groups).alias("q"), each(candidate_groups).alias("c"), F.lit(0).alias("side"), F.struct("*").alias("block"))
+    candidates = rows.mapInArrow(tidy(pack(BLOCK)), packed).select(each(query_groups).alias("q"), group(candidate_groups).alias("c"), F.lit(1).alias("side"), F.struct("*").alias("block"))
+    cells = queries.union(candidates).repartition("q", "c").sortWithinPartitions("q", "c", "side")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, list]] = {}
-        seen: dict[int, tuple] = {}
+        cell, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for ids, tops in held.values():
-                lists = [(q, s, d) for q, top in zip(ids, tops, strict=True) if top for s, d in [top]]
+            for ids, _, _, tops in held:
+                lists = [(q, *top) for q, top in zip(ids, tops, strict=True) if top]
                 if lists:
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -170,30 +181,30 @@ def search(df: DataFrame, id_col: str, vector_col: str, k: int, query_filter, sc
                         ["query_id", "vec_id", "score"],
                     )
             held.clear()
-            seen.clear()
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["q_block"] not in held and len(held) >= 16:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if (row["q"], row["c"]) != cell:
                     yield from out()
-                if row["q_block"] not in seen:
-                    seen[row["q_block"]] = _postings(row["q"])
-                    held[row["q_block"]] = (seen[row["q_block"]][0], [None] * len(seen[row["q_block"]][0]))
-                q_ids, q_post, q_most = seen[row["q_block"]]
-                ids, post, most = _postings(row["c"])
-                bound = q_most * most * max(1, min(len(q_post), len(post)))
-                kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**62 else object
-                tops = held[row["q_block"]][1]
-                for a, b, tile in _tiles(q_post, len(q_ids)):
-                    scores = _accumulate(tile, b - a, post, len(ids), kind)
-                    for i in range(a, b):
-                        other = ids != q_ids[i]
-                        s, d = _best(scores[i - a][other], ids[other], k)
-                        if tops[i]:
-                            s, d = _best(np.concatenate([tops[i][0], s]), np.concatenate([tops[i][1], d]), k)
-                        tops[i] = (s, d) if len(s) else None
+                    cell = row["q"], row["c"]
+                ids, post, most = _postings(row["block"])
+                if row["side"] == 0:
+                    held.append((ids, post, most, [None] * len(ids)))
+                    continue
+                for q_ids, q_post, q_most, tops in held:
+                    bound = q_most * most * max(1, min(len(q_post), len(post)))
+                    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**62 else object
+                    for a, b, tile in _tiles(q_post, len(q_ids)):
+                        scores = _accumulate(tile, b - a, post, len(ids), kind)
+                        for i in range(a, b):
+                            other = ids != q_ids[i]
+                            s, d = _best(scores[i - a][other], ids[other], k)
+                            if tops[i]:
+                                s, d = _best(np.concatenate([tops[i][0], s]), np.concatenate([tops[i][1], d]), k)
+                            tops[i] = (s, d) if len(s) else None
         yield from out()
 
-    found = met.mapInArrow(tidy(score), "query_id long, vec_id long, score long")
+    found = cells.mapInArrow(tidy(score), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,6 +25,8 @@ def brute(rows, k, scale):
 def test_against_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 6)
+    monkeypatch.setattr(topk, "CANDIDATE_GROUP", 30)
     rng = random.Random(kind)
     value = {"dense": lambda: rng.gauss(0, 1), "sparse": lambda: rng.choice([0.0] * 9 + [1.5]), "large": lambda: rng.gauss(0, 1e9), "ties": lambda: float(rng.randint(0, 1))}[kind]
     rows = [(i, [value() for _ in range(rng.choice([8, 8, 5, 0]))]) for i in range(70)]
