@@ -7,8 +7,9 @@ most apart are kept, and a logistic regression is fitted to them. It learns from
 
 Defined results: a null text counts as empty; an empty text has no features and gets the score of the bias; without
 training texts of both kinds every text gets the smoothed share of toxic ones. Of conflicting labels of a document the
-toxic one holds; a null id, null label or label besides 0 and 1 is not learned from. Repeated rows get the same score
-each, whole texts of any length are read, and an empty table stays empty.
+toxic one holds; a null id, null label or label besides 0 and 1 is not learned from. Of documents repeated under an id
+the least text is learned from; all rows get a score each. Whole texts of any length are read, and an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -26,21 +27,28 @@ from recospark.llm.common import checkpoint, chunks, tidy
 N_GRAMS, BITS, FEATURES = (4, 6, 8), 20, 1024
 #: Labelled documents learned from at most, and the tasks that count them.
 TRAINED, TASKS = 16_000, 8
+#: Characters whose n-grams are hashed at once.
+STRETCH = 1 << 20
 #: Fixed odd multipliers of the n-gram hash.
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def buckets(text: str | None) -> np.ndarray:
-    """The buckets of all character n-grams of a text, repeats included."""
-    x = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out, h = [], x * _MIX[0]
-    for n in range(2, max(N_GRAMS) + 1):
-        if len(x) < n:
-            break
-        h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MIX[1] + x[n - 1 :] * _MIX[2]
-        if n in N_GRAMS:
-            out.append(((h ^ (h >> np.uint64(31))) * _MIX[0]) >> np.uint64(64 - BITS))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+    """The distinct buckets of all character n-grams of a text; a long one is read in stretches of STRETCH characters."""
+    framed = f" {(text or '').lower()} "
+    parts = []
+    for a in range(0, len(framed), STRETCH):
+        # A stretch overlaps the next one by what the longest n-gram needs.
+        x = np.frombuffer(framed[a : a + STRETCH + max(N_GRAMS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        out, h = [], x * _MIX[0]
+        for n in range(2, max(N_GRAMS) + 1):
+            if len(x) < n:
+                break
+            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MIX[1] + x[n - 1 :] * _MIX[2]
+            if n in N_GRAMS:
+                out.append((((h ^ (h >> np.uint64(31))) * _MIX[0]) >> np.uint64(64 - BITS)).astype(np.int64))
+        parts += [np.unique(np.concatenate(out))] if out else []
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.zeros(0, np.int64), *parts]))
 
 
 @dataclass
@@ -77,8 +85,9 @@ def drawn(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """The bounded training sample: text and toxic; learn: a condition on the labels' doc_id."""
     known = labels.select("doc_id", "toxic").filter(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     ids = known.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(TRAINED).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # At most TRAINED ids of some 20 bytes are broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    # At most TRAINED ids of some 20 bytes are broadcast; of rows repeated under an id one text is learned from.
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(sample: DataFrame) -> Model:
@@ -90,12 +99,12 @@ def fit(sample: DataFrame) -> Model:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic] += 1
-                counts[toxic, np.unique(buckets(text))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([counts.astype(np.uint16).tobytes()]), pa.array([seen[0]]), pa.array([seen[1]])], ["counts", "n0", "n1"])
+                counts[toxic, buckets(text)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()]), pa.array([seen[0]]), pa.array([seen[1]])], ["counts", "n0", "n1"])
 
     counts, n0, n1 = np.zeros((2, 1 << BITS)), 0, 0
     for row in sample.mapInArrow(tidy(count), "counts binary, n0 long, n1 long").collect():
-        counts += np.frombuffer(row.counts, np.uint16).reshape(2, -1)
+        counts += np.frombuffer(row.counts, np.int32).reshape(2, -1)
         n0, n1 = n0 + row.n0, n1 + row.n1
     nothing = np.full(1 << BITS, -1, np.int16)
     if not (n0 and n1):
