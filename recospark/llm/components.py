@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import checkpoint
+from recospark.llm.common import checkpoint, release
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Each vertex ties its larger neighbours to the least vertex among itself and its neighbours."""
     both = links.union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -35,3 +35,4 @@ def stars(links: DataFrame) -> DataFrame:
             return links
         before = said
         links = checkpoint(_small_star(_large_star(links)))
+        release(links.sparkSession)

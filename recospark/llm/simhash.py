@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import checkpoint, chunks, join_skewed, texts, tidy
+from recospark.llm.common import checkpoint, chunks, join_skewed, release, texts, tidy
 from recospark.llm.components import stars
 
 #: Blocks of a fingerprint; fingerprints in a bucket that are compared at once; times a crowded bucket is dealt anew.
@@ -106,33 +106,34 @@ def connected(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _buckets(distance: int):
-    """Streams rows (mask, key, fp) sorted by mask and key, and gives out the links of each bucket."""
+    """Streams rows (view, mask, key, fp) sorted by all but fp, and gives out the links of each bucket with its view."""
 
-    def links(fps: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(view: np.ndarray, fps: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, len(fps)))
         # Buckets of two at once.
         two = starts[sizes == 2]
         a, b = fps[two], fps[two + 1]
         near = differing(a, b) <= distance
-        us, vs = [np.maximum(a, b)[near]], [np.minimum(a, b)[near]]
+        views, us, vs = [view[two][near]], [np.maximum(a, b)[near]], [np.minimum(a, b)[near]]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             u, v = connected(np.unique(fps[s : s + n]), distance)
+            views.append(np.full(len(u), view[s]))
             us.append(u)
             vs.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (views, us, vs)], ["view", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             own = [np.concatenate([h, np.asarray(c, dtype=np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-            new = np.flatnonzero((np.diff(own[0]) != 0) | (np.diff(own[1]) != 0)) + 1
+            new = np.flatnonzero((np.diff(own[0]) != 0) | (np.diff(own[1]) != 0) | (np.diff(own[2]) != 0)) + 1
             starts = np.append(0, new)
             last = starts[-1]
             held = [x[last:] for x in own]
             if last:
-                yield from links(own[2][:last], starts[:-1])
+                yield from links(own[0][:last], own[3][:last], starts[:-1])
         if len(held[0]):
-            yield from links(held[2], np.zeros(1, np.int64))
+            yield from links(held[0], held[3], np.zeros(1, np.int64))
 
     return run
 
@@ -140,33 +141,34 @@ def _buckets(distance: int):
 def _dealt_anew(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fixed, fps = (np.asarray(c, dtype=np.int64) for c in batch.columns)
+            view, fixed, fps = (np.asarray(c, dtype=np.int64) for c in batch.columns)
             for mask in np.unique(fixed):
-                own = fps[fixed == mask]
+                own = fixed == mask
                 for deeper in masks(int(mask), distance):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), deeper)), pa.array(own)], ["mask", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(view[own]), pa.array(np.full(own.sum(), deeper)), pa.array(fps[own])], ["view", "mask", "fp"])
 
     return run
 
 
 def close_links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Links (u, v) that connect distinct fingerprints (column fp) just as all pairs within the distance do."""
+    """Links (view, u, v) that connect each view's distinct fingerprints (view, fp) just as all pairs within the distance do."""
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.repartition(tasks, "fp").select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks(0, distance)])).alias("mask"), "fp")
-    parts = []
+    dealt = fps.select(F.col("view").cast("long").alias("view"), "fp").repartition(tasks, "fp")
+    rows = dealt.select("view", F.explode(F.array(*[F.lit(m).cast("long") for m in masks(0, distance)])).alias("mask"), "fp")
+    bucket, parts = ["view", "mask", "key"], []
     for depth in range(DEEPER + 1):
-        rows = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+        rows = rows.select("view", "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
         if depth < DEEPER:
-            crowded = checkpoint(rows.groupBy("mask", "key").count().filter(F.col("count") > CROWDED).select("mask", "key"))
+            crowded = checkpoint(rows.groupBy(*bucket).count().filter(F.col("count") > CROWDED).select(*bucket))
             crowds = crowded.count()
         else:
             crowds = 0
-        calm = rows.join(crowded, ["mask", "key"], "left_anti") if crowds else rows
-        dealt = calm.repartition("mask", "key").sortWithinPartitions("mask", "key")
-        parts.append(dealt.select("mask", "key", "fp").mapInArrow(tidy(_buckets(distance)), "u long, v long"))
+        calm = rows.join(crowded, bucket, "left_anti") if crowds else rows
+        dealt = calm.repartition(*bucket).sortWithinPartitions(*bucket)
+        parts.append(dealt.select(*bucket, "fp").mapInArrow(tidy(_buckets(distance)), "view long, u long, v long"))
         if not crowds:
             break
-        rows = rows.join(crowded, ["mask", "key"], "left_semi").select("mask", "fp").mapInArrow(tidy(_dealt_anew(distance)), "mask long, fp long").distinct()
+        rows = rows.join(crowded, bucket, "left_semi").select("view", "mask", "fp").mapInArrow(tidy(_dealt_anew(distance)), "view long, mask long, fp long").distinct()
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -180,17 +182,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, views:
     """
     own = checkpoint(fingerprints(docs, shingle, views, distinct, id_col, text))
     copies = checkpoint(own.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    links = close_links(copies.select("fp"), distance)
-    for view in range(1, views):
+    if views == 1:
+        links = close_links(copies.select(F.lit(0).alias("view"), "fp"), distance).select("u", "v")
+    else:
         # Documents stand for each other by their first fingerprint, which those with another one in common share too.
-        seen = own.select(F.col("fps")[0].alias("fp"), F.col("fps")[view].alias("other"))
-        nodes = checkpoint(seen.groupBy("other").agg(F.min("fp").alias("node")))
-        ties = seen.distinct().join(nodes, "other").filter(F.col("fp") != F.col("node")).select("fp", "node")
-        close = close_links(nodes.select(F.col("other").alias("fp")), distance)
+        seen = own.select(F.col("fps")[0].alias("fp"), F.posexplode("fps").alias("view", "other")).distinct()
+        nodes = checkpoint(seen.groupBy("view", "other").agg(F.min("fp").alias("node")))
+        ties = seen.join(nodes, ["view", "other"]).filter(F.col("fp") != F.col("node")).select("fp", "node")
+        close = checkpoint(close_links(nodes.select("view", F.col("other").alias("fp")), distance).distinct())
+        release(docs.sparkSession)
         for end in ("u", "v"):
-            close = close.join(nodes.select(F.col("other").alias(end), F.col("node").alias(f"{end}_node")), end)
-        links = links.union(ties).union(close.select("u_node", "v_node"))
-    roots = stars(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+            close = close.join(nodes.select("view", F.col("other").alias(end), F.col("node").alias(f"{end}_node")), ["view", end])
+        links = ties.union(close.select("u_node", "v_node"))
+    roots = stars(links.toDF("u", "v")).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     grouped = copies.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     leasts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = checkpoint(grouped.join(leasts, "root").select("fp", "component_id", "n"))
