@@ -21,7 +21,11 @@ def test_rolling_hash():
     assert x[0] == x[3] and x[1] == x[4] and len(set(x.tolist())) == 3
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "RECALL", 1 - 1e-9)  # what is missed by chance is measured by test_recall
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "ITEM_BYTES", 0)
     rng = random.Random(11)
     items = [(i, text(rng, rng.randint(1, 40), 3000)) for i in range(40)] + [(None, "null id item here now"), (50, None), (51, ""), (3, "Upper CASE words here yes no")]
     docs = []
@@ -34,6 +38,7 @@ def test_decontamination(spark):
             parts += [" ".join(words), text(rng, 20, 3000)]
         docs.append((i, " \n".join(parts), "x"))
     docs += [(900, None, ""), (901, "", ""), (None, "a null id item here now and UPPER case WORDS here yes no", ""), (7, docs[7][1], "")]
+    decontamination.signature_bits.cache_clear()
     got = [tuple(r) for r in decontamination.contained_items(spark.createDataFrame(docs, "doc_id long, text string, item_id string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()]
 
     want = []
@@ -49,6 +54,31 @@ def test_decontamination(spark):
                     want.append((d, i, len(q & x), len(q), len(q & x) / len(q)))
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 30
+    frame = spark.createDataFrame(docs, "doc_id long, text string, key string").repartition(3)
+    kept = decontamination.without_items(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == frame.columns
+    hit = {x[0] for x in want}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, *_ in docs if d not in hit)
+    decontamination.signature_bits.cache_clear()
+
+
+def test_recall():
+    """Items held to the threshold exactly, in documents of all sizes: nine in ten and more are met by their signatures."""
+    rng, met, tried, few, asked = random.Random(17), 0, 0, 0, 0
+    for n in (5, 9, 14, 24, 44):
+        for size in (20, 100, 1000, 10000):
+            for _ in range(25):
+                item = [b"i%d" % rng.randrange(10**9) for _ in range(n)]
+                held = item[: 4 + -(-8 * (n - 4) // 10)]
+                words = [b"w%d" % rng.randrange(10**9) for _ in range(size)]
+                at = rng.randrange(size)
+                index = decontamination.Items([(1, b" ".join(item))], 5, 0.8)
+                met += len(index.met(words[:at] + held + words[at:]))
+                tried += 1
+                for *_, values in index.sought.signatures(words):
+                    few, asked = few + (len(values) if n >= 14 else 0), asked + (size if n >= 14 else 0)
+    assert met >= 0.97 * tried
+    assert few < 0.8 * asked  # a signature is smaller than the set
 
 
 def test_no_items_and_blocks(spark):
@@ -57,11 +87,12 @@ def test_no_items_and_blocks(spark):
     assert decontamination.contained_items(docs, items.limit(0)).count() == 0
     assert decontamination.contained_items(docs.limit(0), items).count() == 0
     kept = decontamination.ITEM_BYTES
-    try:
-        decontamination.ITEM_BYTES = 5
-        assert sorted(r.item_id for r in decontamination.contained_items(docs, items).collect()) == [0, 2]
-    finally:
-        decontamination.ITEM_BYTES = kept
+    for most in (kept, 5):
+        try:
+            decontamination.ITEM_BYTES = most
+            assert sorted(r.item_id for r in decontamination.contained_items(docs, items).collect()) == [0, 2]
+        finally:
+            decontamination.ITEM_BYTES = kept
 
 
 def test_cover():
@@ -80,6 +111,9 @@ def test_substrings(spark, monkeypatch, run):
             parts += [rng.choice(passages), text(rng, rng.randint(0, 30))]
         docs.append((i * 7 % 90, "\n".join(parts)))
     docs += [(200, docs[5][1]), (201, None), (202, ""), (None, passages[0]), (203, "same " * 500), (204, "same " * 80), (200, docs[5][1])]
+    # Ids whose rows hold different texts: neither takes words from the other, and each loses its own.
+    alone = text(rng, 70, 10**6)
+    docs += [(210, passages[0] + " " + passages[1]), (210, alone), (210, None), (211, alone + " more"), (3, alone), (3, passages[2] + " " + passages[2])]
     frame = spark.createDataFrame([(d, t, 1, "h") for d, t in docs], "doc_id long, text string, n_words int, h string").repartition(6)
     if run:
         monkeypatch.setattr(substrings, "SETTLED", run)  # shorter runs of documents settle less by themselves
