@@ -11,9 +11,9 @@ share is sent on once, so a passage in a third of all documents makes no large g
 that exchange serves both joins.
 
 Defined results: words are what stands between ASCII white space, unchanged; a null or empty text has none; a text of
-fewer words than a window loses none, though its words were repeated elsewhere. The id is a key: rows repeated under it
-hold the same text and get the same result each, and none makes another lose words. A null id takes no part and loses
-nothing.
+fewer words than a window loses none, though its words were repeated elsewhere. Rows repeated under an id never make each
+other lose words, as neither id is smaller; where their texts differ, each is told from the others by a hash of its text
+(`version`, else 0). A null id takes no part and loses nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recospark.llm.common import chunks, texts, tidy
+from recospark.llm.common import checkpoint, chunks, texts, tidy
 from recospark.llm.shingles import BASES, Rolling, word_hashes
 
 #: The window, and a perfect difference set: each residue but 0 is the difference of one pair.
@@ -66,15 +66,15 @@ def _stacked(parts: list[tuple], kinds: tuple) -> list[np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc_id, place) of the first anchor of each hash in each document; place is -1 - place if this run of documents
-    shows that others share it."""
+    """(h, doc_id, version, place) of the first anchor of each hash in each document; place is -1 - place if this run of
+    documents shows that others share it."""
     found, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+        for doc, version, text in zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), texts(batch), strict=True):
             if doc is None:
                 continue
             h, places = anchors(word_hashes(text.split()))
-            found.append((h, np.full(len(h), doc, np.int64), places))
+            found.append((h, np.full(len(h), doc, np.int64), np.full(len(h), version, np.int64), places))
             size += len(h)
             if size >= SETTLED:
                 yield from _sent(found)
@@ -83,35 +83,36 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sent(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """What a run of documents sends of its anchors (h, doc_id, place)."""
-    h, docs, places = _stacked(found, (np.int64, np.int64, np.int32))
+    """What a run of documents sends of its anchors (h, doc_id, version, place)."""
+    h, docs, versions, places = _stacked(found, (np.int64, np.int64, np.int64, np.int32))
     if not len(h):
         return
-    order, group = _groups(h, docs)
+    order, group = _groups(h, docs, versions)
     order = order[np.diff(group, prepend=-1) != 0]
-    h, docs, places = h[order], docs[order], places[order]
+    h, docs, versions, places = h[order], docs[order], versions[order], places[order]
     _, group = np.unique(h, return_inverse=True)
     least, most = _range_of_docs(docs, group)
     known = least != most
     sent = ~known | (np.diff(group, prepend=-1) != 0)  # one of a known group tells other runs of documents
     # What is known needs no group any more and is spread evenly.
     spread = (docs[known] * np.int64(1000003) + places[known]) * np.int64(0x5851F42D4C957F2D)
-    columns = np.concatenate([h[sent], spread]), np.concatenate([docs[sent], docs[known]]), np.concatenate([places[sent], -1 - places[known]]).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc_id", "place"])
+    both = [np.concatenate([x[sent], x[known]]) for x in (docs, versions)]
+    columns = np.concatenate([h[sent], spread]), *both, np.concatenate([places[sent], -1 - places[known]]).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc_id", "version", "place"])
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, place) of the anchors that several documents have; all rows of a hash are in one partition."""
+    """(doc_id, version, place) of the anchors that several documents have; all rows of a hash are in one partition."""
     parts = [[np.asarray(c) for c in b.columns] for b in batches]
-    h, docs, places = _stacked(parts, (np.int64, np.int64, np.int32))
+    h, docs, versions, places = _stacked(parts, (np.int64, np.int64, np.int64, np.int32))
     known = places < 0
-    yield pa.RecordBatch.from_arrays([pa.array(docs[known]), pa.array(-1 - places[known])], ["doc_id", "place"])
-    h, docs, places = h[~known], docs[~known], places[~known]
+    yield pa.RecordBatch.from_arrays([pa.array(docs[known]), pa.array(versions[known]), pa.array(-1 - places[known])], ["doc_id", "version", "place"])
+    h, docs, versions, places = (x[~known] for x in (h, docs, versions, places))
     if len(h):
         order, group = _groups(h)
         least, most = _range_of_docs(docs[order], group)
         kept = order[least != most]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[kept]), pa.array(places[kept])], ["doc_id", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs[kept]), pa.array(versions[kept]), pa.array(places[kept])], ["doc_id", "version", "place"])
 
 
 def candidates(places: np.ndarray, n: int) -> np.ndarray:
@@ -122,52 +123,62 @@ def candidates(places: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(change)[: max(0, n - WINDOW + 1)] > 0)
 
 
+#: Columns of the windows that are sent, and their types.
+_SENT = {"h": np.int64, "tag": np.int32, "doc_id": np.int64, "version": np.int64, "start": np.int32, "number": np.int32}
+
+
+def _starts_of_runs(starts: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where runs of consecutive starts with equal keys begin."""
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] != starts[:-1] + 1
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _settled(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, tag, doc_id, start, number) of a run of documents: runs of windows that are known to start in a smaller
-    document (number > 0), and runs of equal ones to compare (-number of them)."""
-    h, tag, docs, starts = _stacked(found, (np.int64, np.int32, np.int64, np.int32))
-    if not len(h):
+    """Rows (h, tag, doc_id, version, start, number) of a run of documents: runs of windows that are known to start in a
+    smaller document (number > 0), and runs of equal ones to compare (-number of them)."""
+    columns = _stacked(found, tuple(_SENT.values())[:-1])
+    if not len(columns[0]):
         return
-    order, group = _groups(h, tag)
-    h, tag, docs, starts = h[order], tag[order], docs[order], starts[order]
+    order, group = _groups(*columns[:2])
+    h, tag, docs, versions, starts = (x[order] for x in columns)
     least, _ = _range_of_docs(docs, group)
     known = docs > least
-    h, tag, d, s = (x[~known] for x in (h, tag, docs, starts))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (tag[1:] != tag[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
-    first = np.flatnonzero(new)
-    out = [(h[first], tag[first], d[first], s[first], -np.diff(np.append(first, len(h))).astype(np.int32))]
+    own = [x[~known] for x in (h, tag, docs, versions, starts)]
+    first = _starts_of_runs(own[4], *own[:4])
+    out = [(*(x[first] for x in own), -np.diff(np.append(first, len(own[0]))).astype(np.int32))]
     if known.any():
-        d, s = docs[known], starts[known]
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
+        d, v, s = docs[known], versions[known], starts[known]
+        order = np.lexsort((s, v, d))
+        d, v, s = d[order], v[order], s[order]
         keep = np.ones(len(d), bool)
-        keep[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
-        d, s = d[keep], s[keep]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
-        first = np.flatnonzero(new)
+        keep[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (s[1:] != s[:-1])
+        d, v, s = d[keep], v[keep], s[keep]
+        first = _starts_of_runs(s, d, v)
         number = np.diff(np.append(first, len(d))).astype(np.int32)
-        d, s = d[first], s[first]
-        out.append(((d * np.int64(1000003) + s) * np.int64(0x5851F42D4C957F2D), np.zeros(len(d), np.int32), d, s.astype(np.int32), number))
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _stacked(out, (np.int64, np.int32, np.int64, np.int32, np.int32))], ["h", "tag", "doc_id", "start", "number"])
+        d, v, s = d[first], v[first], s[first]
+        out.append(((d * np.int64(1000003) + s) * np.int64(0x5851F42D4C957F2D), np.zeros(len(d), np.int32), d, v, s.astype(np.int32), number))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _stacked(out, tuple(_SENT.values()))], [*_SENT])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows around shared anchors."""
     found, size = [], 0
     for batch in batches:
-        for doc, text, places in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("places").to_pylist(), strict=True):
+        for doc, version, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version")), texts(batch), batch.column("places").to_pylist(), strict=True):
             if doc is None or not places:
                 continue
             hashes = word_hashes(text.split())
             # Anchors of one hash are shared together.
             h, at = anchors(hashes)
             starts = candidates(at[np.isin(h, h[np.isin(at, places)])].astype(np.int64), len(hashes))
-            if len(starts):
+            if n := len(starts):
                 h, other = (Rolling(hashes, b).at(starts, WINDOW) for b in BASES)
-                found.append((h.view(np.int64), (other >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
-                size += len(starts)
+                tag = (other >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                found.append((h.view(np.int64), tag, np.full(n, doc, np.int64), np.full(n, version, np.int64), starts.astype(np.int32)))
+                size += n
             if size >= SETTLED:
                 yield from _settled(found)
                 found, size = [], 0
@@ -175,17 +186,18 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, number): runs of windows that start in a smaller document too."""
+    """(doc_id, version, start, number): runs of windows that start in a smaller document too."""
+    names = ["doc_id", "version", "start", "number"]
     parts = [[np.asarray(c) for c in b.columns] for b in batches]
-    h, tag, docs, starts, number = _stacked(parts, (np.int64, np.int32, np.int64, np.int32, np.int32))
-    known = number > 0
-    yield pa.RecordBatch.from_arrays([pa.array(docs[known]), pa.array(starts[known]), pa.array(number[known])], ["doc_id", "start", "number"])
-    h, tag, docs, starts, number = (x[~known] for x in (h, tag, docs, starts, number))
+    columns = _stacked(parts, tuple(_SENT.values()))
+    known = columns[5] > 0
+    yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in columns[2:]], names)
+    h, tag, docs, versions, starts, number = (x[~known] for x in columns)
     if len(h):
         order, group = _groups(h, tag)
         least, _ = _range_of_docs(docs[order], group)
         kept = order[docs[order] > least]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[kept]), pa.array(starts[kept]), pa.array(-number[kept])], ["doc_id", "start", "number"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (docs, versions, starts, -number)], names)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,13 +224,21 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kept (the words that stay, joined by a space), n_words and n_removed of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    anchored = rows.mapInArrow(tidy(_anchor_rows), "h long, doc_id long, place int").repartition("h")
-    shared = anchored.mapInArrow(tidy(_shared_anchors), "doc_id long, place int")
-    places = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    key, said = ["doc_id", "version"], F.xxhash64(F.col("text"), F.col("text").isNull())
+    # Ids under which different texts stand: none, as a rule.
+    several = checkpoint(rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(said).alias("a"), F.max(said).alias("b")).filter(F.col("a") != F.col("b")).select("doc_id"))
+    if several.limit(1).count():
+        marked = rows.join(several.withColumn("several", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+        rows = marked.select("doc_id", F.when(F.col("several"), said).otherwise(F.lit(0)).cast("long").alias("version"), "text")
+    else:
+        rows = rows.select("doc_id", F.lit(0).cast("long").alias("version"), "text")
+    anchored = rows.mapInArrow(tidy(_anchor_rows), "h long, doc_id long, version long, place int").repartition("h")
+    shared = anchored.mapInArrow(tidy(_shared_anchors), "doc_id long, version long, place int")
+    places = shared.groupBy(*key).agg(F.collect_list("place").alias("places"))
     # Both joins are left joins of the same rows, so that the texts are exchanged once.
-    windows = rows.join(places.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "places")
-    compared = windows.mapInArrow(tidy(_window_rows), "h long, tag int, doc_id long, start int, number int").repartition("h")
-    repeated = compared.mapInArrow(tidy(_repeated_windows), "doc_id long, start int, number int")
-    removed = repeated.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("number").alias("numbers"))
-    marked = rows.join(removed.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts", "numbers")
+    windows = rows.join(places.hint("shuffle_hash"), key, "left").select(*key, "text", "places")
+    compared = windows.mapInArrow(tidy(_window_rows), "h long, tag int, doc_id long, version long, start int, number int").repartition("h")
+    repeated = compared.mapInArrow(tidy(_repeated_windows), "doc_id long, version long, start int, number int")
+    removed = repeated.groupBy(*key).agg(F.collect_list("start").alias("starts"), F.collect_list("number").alias("numbers"))
+    marked = rows.join(removed.hint("shuffle_hash"), key, "left").select("doc_id", "text", "starts", "numbers")
     return marked.mapInArrow(tidy(_kept), "doc_id long, kept string, n_words long, n_removed long")
