@@ -2,9 +2,14 @@
 
 Each page is parsed to a tree of its block elements and every container's subtree is hashed. Spark counts, for each host,
 in how many different pages a subtree occurs; subtrees in MIN_PAGES or more, however many pages the host has, are the
-site's template, and are deleted along with elements that are no article text by their tag, class or role. Of what is left, the article (or main) elements are the text, or the body where a page has neither. Pages with the same
-content count once, so that copies of an article are no template; neither is a paragraph, heading, table or quotation
-inside an article, nor an element that holds an article.
+site's template, and are deleted along with elements that are no article text by their tag, class or role. Of what is
+left, the article (or main) elements are the text, or the body where a page has neither. Pages with the same content count
+once, so that copies of an article are no template; neither is a paragraph, heading, table or quotation inside an article,
+nor an element that holds an article.
+
+A class, id or role never deletes an element that holds an article, nor one that holds over MOST of the text that tags
+leave on a page (readers' comments: over MOST_COMMENTS), and a paragraph, heading, list, table or quotation inside an
+article only if it is marked as an advert. A form that holds over MOST of it is the page itself.
 
 Blocks are joined by a line feed in page order; inside a block white space is one space, and character references are
 decoded.
@@ -33,6 +38,8 @@ MIN_PAGES = 5
 #: Templates are broadcast up to this many; beyond, each page is joined to those of its own subtrees that are templates,
 #: and copies of a page are dealt over SALTS parts.
 BROADCAST_ROWS, SALTS = 20_000, 4
+#: Shares of a page's text from which on an element is no more taken for what its class says.
+MOST, MOST_COMMENTS = 0.5, 0.9
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*"|'[^']*'|[^"'<>])*+)>|<[!?/][^>]*>?|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -43,9 +50,10 @@ _RAW = frozenset("script style textarea title noscript iframe template xmp noemb
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table thead tbody tfoot tr td th caption li dt dd figcaption ul ol dl".split())
 _CONTAINERS = frozenset("html head body div section article main nav header footer aside form fieldset figure address details summary dialog center hgroup menu search".split())
-_DROPPED = frozenset("head nav aside form footer fieldset dialog menu search button select option svg canvas object audio video math label".split())
+_DROPPED = frozenset("head nav aside form footer fieldset dialog menu search button select option canvas object audio video".split())
+_WRAPPERS = frozenset("form fieldset".split())
 _BLOCKS = _TEXT_BLOCKS | _CONTAINERS | _DROPPED
-_ENDS_P = _BLOCKS - {"button", "select", "option", "svg", "canvas", "object", "audio", "video", "math", "label", "p"}
+_ENDS_P = _BLOCKS - {"button", "select", "option", "canvas", "object", "audio", "video", "p"}
 #: Elements whose end tag may be left out: what opens, and which open element of the same parent that ends.
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words in a class, id or role that mark an element as no part of an article.
@@ -54,6 +62,9 @@ _MARKS = frozenset(
     "reply replies respond nav navbar navigation menu breadcrumb breadcrumbs footer share sharing social newsletter subscribe related recommended "
     "promo promotion sponsor sponsored widget toolbar pagination pager login signup masthead complementary contentinfo alert skip".split()
 )
+#: Those of them that mark readers' comments, and adverts.
+_COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising promo promotion sponsor sponsored".split())
 
 
 @dataclass
@@ -126,7 +137,7 @@ def parse(html: str | None) -> Page:
             close()
         if tag == "body" and near(("head",)):
             close()
-        if m[3].rstrip().endswith("/") and tag in ("svg", "canvas", "object"):
+        if m[3].rstrip().endswith("/") and tag in ("canvas", "object"):
             continue
         found = dict(_ATTRIBUTE.findall(m[3]))
         marks = frozenset(w for v in found.values() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
@@ -166,16 +177,39 @@ def subtrees(page: Page) -> set[int]:
     return out
 
 
+def _shares(page: Page) -> list[float]:
+    """For each element, how much of the text that tags leave on the page it holds."""
+    sizes, out = [0] * len(page.tags), [False] * len(page.tags)
+    for i, (tag, p) in enumerate(zip(page.tags, page.parents, strict=True)):
+        out[i] = p >= 0 and out[p] or tag in _DROPPED and tag not in _WRAPPERS
+    total = 0
+    for i, said in page.blocks:
+        if i < 0 or not out[i]:
+            total += len(said)
+            if i >= 0:
+                sizes[i] += len(said)
+    for i in range(len(sizes) - 1, -1, -1):
+        if page.parents[i] >= 0:
+            sizes[page.parents[i]] += sizes[i]
+    return [n / max(1, total) for n in sizes]
+
+
 def _marked(page: Page, template: set[int]) -> tuple[list[bool], list[bool], bool]:
     """For each element: is it deleted, and may its own text be main text; and does an article live."""
     own, holds = _articles(page)
+    shares = _shares(page)
     allowed = subtrees(page) & template if template else template
     dead, inside = [False] * len(own), [False] * len(own)
     for i, (tag, p, marks) in enumerate(zip(page.tags, page.parents, page.marks, strict=True)):
         within = p >= 0 and inside[p]
         inside[i] = own[i] or within
         kept = own[i] or holds[i] or tag in ("html", "body")
-        dropped = tag in _DROPPED or (tag == "header" or "header" in marks and tag in _CONTAINERS) and not within or bool(marks & _MARKS)
+        said = marks & (_ADVERTS if within and tag in _TEXT_BLOCKS else _MARKS)
+        dropped = (
+            tag in _DROPPED and not (tag in _WRAPPERS and shares[i] > MOST)
+            or (tag == "header" or "header" in marks and tag in _CONTAINERS and shares[i] <= MOST) and not within
+            or bool(said) and shares[i] <= (MOST_COMMENTS if said & _COMMENTS else MOST)
+        )
         dead[i] = p >= 0 and dead[p] or not kept and (dropped or page.hashes[i] in allowed)
     living = any(o and not d for o, d in zip(own, dead, strict=True))
     return dead, [x or not living for x in inside], living

@@ -49,7 +49,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    found = html.extract(read(spark, sf_dir, "pages"))
+    found = html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 

@@ -1,5 +1,8 @@
 """Main text of pages: markup, templates, odd rows."""
 
+import random
+from collections import Counter
+
 from recospark.llm import html
 
 ARTICLE = "<article><h1>Title {0}</h1><p><b>First {0} &amp; more.<br><p>Second  para\n{0}.</p></article>"
@@ -24,6 +27,73 @@ def test_markup():
     assert text("<div>" * 5000 + "deep" + "</b></div>" * 5000) == "deep"
 
 
+def test_what_classes_must_not_delete():
+    assert text('<body><div class="content has-sidebar"><h1>T</h1><p>Body text</p></div></body>') == "T\nBody text"
+    assert text('<body><div id="wrap" class="social-science"><h1>T</h1><p>Body text</p></div></body>') == "T\nBody text"
+    assert text('<article><p>One</p><p class="alert">Storm alert text</p><p class="ad">buy</p></article>') == "One\nStorm alert text"
+    assert text("<article><p>Let <math><mi>x</mi></math> be <label>so</label> and <svg><text>n</text></svg> too.</p></article>") == "Let x be so and n too."
+    assert text('<form id="page"><div class="page-header">h</div><p>All of the long text of this page</p></form><form><label>Name</label></form>') == "All of the long text of this page"
+    assert text('<p>A post of two lines or so.</p><div id="comments"><p>A long comment that says more than the post</p></div>') == "A post of two lines or so."
+
+
+def plain(source, template):
+    """Main text by recursion over a tree of its own: for pages of nav, div, section, article, p and h1 without classes."""
+    import re
+
+    top = ["", []]
+    stack = [top]
+    for close, tag, said in re.findall(r"<(/?)([a-z0-9]+)>|([^<]+)", source):
+        if said:
+            stack[-1][1].append(said)
+        elif close:
+            stack.pop()
+        else:
+            node = [tag, []]
+            stack[-1][1].append(node)
+            stack.append(node)
+
+    def flat(node):
+        return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(flat, node[1])) + f"</{node[0]}>"
+
+    def has(node):
+        return not isinstance(node, str) and (node[0] == "article" or any(map(has, node[1])))
+
+    def walk(node, inside, only):
+        if isinstance(node, str):
+            return [node] if inside or not only else []
+        if node[0] == "nav" or node[0] not in ("html", "body", "") and not has(node) and flat(node) in template and not (inside and node[0] in ("p", "h1")):
+            return []
+        return [x for c in node[1] for x in walk(c, inside or node[0] == "article", only)]
+
+    return "\n".join(walk(top, False, has(top))), {flat(n) for n in _nodes(top) if not has(n) and n[0] not in ("html", "body", "")}
+
+
+def _nodes(node):
+    for c in node[1]:
+        if not isinstance(c, str):
+            yield c
+            yield from _nodes(c)
+
+
+def test_against_plain_version(spark):
+    """Counts of subtrees and texts, host by host, against plain Python on random pages of shared and own parts."""
+    rng = random.Random(4)
+    parts = [f"<{t}><p>{w}</p><p>{w} more</p></{t}>" for t in ("div", "section") for w in ("menu", "advert", "notice", "rare")]
+
+    def made(i):
+        body = [rng.choice(parts[:6]) if rng.random() < 0.7 else rng.choice(parts) for _ in range(rng.randint(0, 3))]
+        body.insert(rng.randint(0, len(body)), f"<article><h1>t{i}</h1><p>own {i}</p>{rng.choice(['', *parts])}</article>" if i % 3 else f"<div><p>own text {i}</p></div>")
+        return "<html><body><nav><p>x</p></nav>" + "".join(body) + "</body></html>"
+
+    rows = [(i, f"http://h{i % 3}.example.com/{i}", made(i)) for i in range(90)]
+    seen = Counter()
+    for host, own in {(url.split("/")[2], frozenset(plain(h, ())[1])) for _, url, h in rows}:
+        seen.update((host, x) for x in own)
+    want = {i: plain(h, {x for (host, x), n in seen.items() if host == url.split("/")[2] and n >= html.MIN_PAGES})[0] for i, url, h in rows}
+    got = {r.page_id: r.main_text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want and sum("advert" in x for x in got.values()) < sum("advert" in h for *_, h in rows)
+
+
 def test_templates(spark):
     box = "<div><p>Read this every day</p></div>"
     rows = [(i, f"http://Site.example.com/{i}", page(i, ARTICLE.format(i).replace("</article>", box + "</article>"))) for i in range(12)]
