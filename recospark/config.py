@@ -77,6 +77,10 @@ class ItemSimilarityConfig(SimilarityConfig):
     max_user_items: int = 300
     min_item_users: int = 5
 
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        _need(self.min_item_users > 0, "min_item_users must be positive")
+
 
 @dataclass(frozen=True)
 class UserSimilarityConfig(SimilarityConfig):
@@ -90,6 +94,13 @@ class UserSimilarityConfig(SimilarityConfig):
     coverage_anchor_items_per_user: int = 0
     coverage_pair_sample_size: int = 0
 
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        _need(self.min_user_items > 0, "min_user_items must be positive")
+        _need(self.min_item_users > 0, "min_item_users must be positive")
+        _need(self.coverage_anchor_items_per_user >= 0, "coverage_anchor_items_per_user must not be negative")
+        _need(self.coverage_pair_sample_size >= 0, "coverage_pair_sample_size must not be negative")
+
 
 @dataclass(frozen=True)
 class ServingConfig:
@@ -110,6 +121,20 @@ class ServingConfig:
         _need(self.max_item_seeds > 0 and self.max_user_seeds > 0, "seed limits must be positive")
 
 
+@dataclass(frozen=True)
+class FixtureConfig:
+    """How many users a fixture has, and how many of what they are chosen from and shown with."""
+
+    target_users: int = 10
+    pool_size: int = 2500
+    max_neighbors: int = 10
+    max_seeds: int = 24
+    max_candidates: int = 20
+
+    def __post_init__(self) -> None:
+        _need(min(self.target_users, self.pool_size, self.max_neighbors, self.max_seeds, self.max_candidates) > 0, "the fixture's numbers must be positive")
+
+
 #: Settings of the production jobs.
 PRODUCTION_ITEMS = ItemSimilarityConfig(min_rating=3.5, use_rating_weight=True)
 PRODUCTION_USERS = UserSimilarityConfig(

@@ -11,8 +11,9 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession
 
 from recospark import config as C
+from recospark import schemas
 from recospark.operators import item_index, profiles, similarity, sinks
-from recospark.sources.files import last_wins, read_csv
+from recospark.sources.files import last_wins, read_csv, read_documents, validate_input
 
 JOBS = ("item-index", "profiles", "item-similarity", "user-similarity")
 
@@ -48,18 +49,40 @@ def _last(rows: DataFrame) -> DataFrame:
     return last_wins(rows.withColumn("_order", F.monotonically_increasing_id()), "movieId", "_order")
 
 
+def staged(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The documents to write: built, or where a place for them is named, read from there after the build has written them."""
+    if not args.documents:
+        return build(spark, args.job, args)
+    if not args.skip_build:
+        sinks.write_json(build(spark, args.job, args), args.documents)
+    shapes = {"item-index": schemas.ITEM_INDEX, "profiles": schemas.PROFILE, "item-similarity": schemas.similarity("item_id"), "user-similarity": schemas.similarity("user_id")}
+    validate_input(spark, args.documents)
+    return read_documents(spark, args.documents, shapes[args.job])
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__.split("\n")[0])
     parser.add_argument("job", choices=JOBS)
     for kind in ("ratings", "movies", "tags", "links"):
         parser.add_argument(f"--{kind}", default=f"{kind}.csv")
-    parser.add_argument("--output", required=True)
+    parser.add_argument("--output")
+    parser.add_argument("--documents", help="where the documents stand between the build and the write")
+    parser.add_argument("--skip-build", action="store_true", help="write the documents that stand there")
+    parser.add_argument("--skip-write", action="store_true", help="only build them")
     parser.add_argument("--sink", choices=("json", "table", "zset", "count"), default="json")
     parser.add_argument("--production", action="store_true")
     parser.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
     args = parser.parse_args(argv)
+    if (args.skip_build or args.skip_write) and not args.documents:
+        parser.error("--skip-build and --skip-write need --documents")
+    if args.skip_build and args.skip_write:
+        parser.error("nothing is left to do")
+    if not args.skip_write and not args.output:
+        parser.error("name an --output")
     spark = SparkSession.builder.appName(f"recospark {args.job}").getOrCreate()
-    documents = build(spark, args.job, args)
+    documents = staged(spark, args)
+    if args.skip_write:
+        return 0
     if args.sink == "table":
         sinks.write_table(documents, args.output)
     elif args.sink == "json":

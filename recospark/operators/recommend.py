@@ -14,7 +14,10 @@ from recospark.operators import ranking, retrieval
 
 @dataclass(frozen=True)
 class Stores:
-    """What serving looks up: users (user_id of each profile), behaviors, seen, both similarity graphs, and features."""
+    """What serving looks up: users (user_id of each profile), behaviors, seen, both similarity graphs, and features.
+
+    acted: user_id, item_id of seen items but those that are seen as negative alone; what fixtures count.
+    """
 
     users: DataFrame
     behaviors: DataFrame
@@ -22,11 +25,12 @@ class Stores:
     item_edges: DataFrame
     user_edges: DataFrame
     features: ranking.Features
+    acted: DataFrame | None = None
 
 
 def stores_of(profiles: DataFrame, items: DataFrame, item_edges: DataFrame, user_edges: DataFrame, precision: str = "float32") -> Stores:
     """Stores from profile and item documents and similarity edges."""
-    return Stores(profiles.select("user_id"), retrieval.behaviors_of(profiles, precision), retrieval.seen_of(profiles), item_edges, user_edges, ranking.features_of(items, profiles))
+    return Stores(profiles.select("user_id"), retrieval.behaviors_of(profiles, precision), retrieval.seen_of(profiles), item_edges, user_edges, ranking.features_of(items, profiles), retrieval.acted_of(profiles))
 
 
 def retrievers(stores: Stores) -> dict[str, retrieval.Retriever]:
@@ -46,15 +50,19 @@ def recommend(requests: DataFrame, stores: Stores, config: ServingConfig = Servi
 
 
 def statuses(requests: DataFrame, stores: Stores, results: DataFrame) -> DataFrame:
-    """request_id and status of each request: no profile, no valid number of results, no candidates, or success."""
+    """request_id, user_id, status, n_items and msg of each request: no profile, no valid number of results, no candidates,
+    or success."""
     g = schemas.GATEWAY
     users = stores.users.distinct().withColumn("found", F.lit(True))
     counts = results.groupBy("request_id").agg(F.count("*").alias("n"))
     rows = requests.join(users, "user_id", "left").join(counts, "request_id", "left")
-    status = (
-        F.when(F.col("found").isNull(), g["USER_NOT_FOUND"]).when(F.col("max_candidates") <= 0, g["INVALID_REQUEST"]).when(F.coalesce("n", F.lit(0)) == 0, g["SYSTEM_ERROR"]).otherwise(g["SUCCESS"])
-    )
-    return rows.select("request_id", "user_id", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_items"))
+    n = F.coalesce("n", F.lit(0))
+    lost, wrong = F.col("found").isNull(), F.coalesce(F.col("max_candidates") <= 0, F.lit(True))
+    status = F.when(lost, g["USER_NOT_FOUND"]).when(wrong, g["INVALID_REQUEST"]).when(n == 0, g["SYSTEM_ERROR"]).otherwise(g["SUCCESS"])
+    user = F.col("user_id").cast("string")
+    msg = F.when(lost, F.concat(F.lit("User ID of "), user, F.lit(" not found."))).when(wrong, F.lit("The number of results must be positive."))
+    msg = msg.when(n == 0, F.concat(F.lit("No candidates for user "), user, F.lit(".")))
+    return rows.select("request_id", "user_id", status.alias("status"), n.alias("n_items"), F.coalesce(msg, F.lit("")).alias("msg"))
 
 
 def batch_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ item_id, weight. edges: src, dst, score, position (best first). seen: user_id, i
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,13 +37,23 @@ def behaviors_of(profiles: DataFrame, precision: str = "float32") -> DataFrame:
     return out
 
 
-def seen_of(profiles: DataFrame) -> DataFrame:
-    """The distinct items that a profile document names anywhere: liked, recent, interested, rated or negative."""
+def _named(profiles: DataFrame, *more: Column) -> DataFrame:
     b = "behaviors."
-    ids = F.flatten(F.array(*(F.col(f"{b}{n}.item_id") for n in ("recent_liked_items", "liked_items", "interested_items")), F.col(f"{b}rated_items"), F.col("negative_feedbacks.items.item_id")))
+    lists = [*(F.col(f"{b}{n}.item_id") for n in ("recent_liked_items", "liked_items", "interested_items")), F.col(f"{b}rated_items"), *more]
+    ids = F.flatten(F.array(*(F.coalesce(x, F.array()) for x in lists)))
     return profiles.select("user_id", F.explode(F.array_distinct(ids)).alias("item_id")).filter("item_id > 0")
 
 
+def seen_of(profiles: DataFrame) -> DataFrame:
+    """The distinct items that a profile document names anywhere: liked, recent, interested, rated or negative."""
+    return _named(profiles, F.col("negative_feedbacks.items.item_id"))
+
+
+def acted_of(profiles: DataFrame) -> DataFrame:
+    """The distinct items that a profile document names as liked, recent, interested or rated."""
+    return _named(profiles)
+
+
 def _limit(config: ServingConfig) -> Column:
     """A request's number of candidates; none or less takes the default."""
     return F.when(F.col("max_candidates") > 0, F.col("max_candidates")).otherwise(config.default_candidates)
@@ -137,9 +148,21 @@ def interleaved(requests: DataFrame, lists: Iterable[tuple[str, DataFrame]]) ->
 
 
 def orchestrate(requests: DataFrame, retrievers: dict[str, Retriever], config: ServingConfig = ServingConfig()) -> DataFrame:
-    """Asks each named retriever for an expanded list and interleaves what they give."""
-    asked = expanded(requests, config)
-    return interleaved(requests, [(name, retrieve(asked, config)) for name, retrieve in retrievers.items()])
+    """Asks each named retriever for an expanded list and interleaves what they give.
+
+    A retriever that can't be planned (a store that is missing, say) is left out with a warning; if none is left, its
+    error is raised.
+    """
+    asked, lists, failed = expanded(requests, config), [], None
+    for name, retrieve in retrievers.items():
+        try:
+            lists.append((name, retrieve(asked, config)))
+        except Exception as error:
+            warnings.warn(f"retriever {name} failed: {error}", stacklevel=2)
+            failed = error
+    if failed and not lists:
+        raise failed
+    return interleaved(requests, lists)
 
 
 def described(candidates: DataFrame) -> DataFrame:
@@ -159,3 +182,21 @@ def diagnostics(requests: DataFrame, behaviors: DataFrame, edges: DataFrame, see
     fetched = marked.groupBy("request_id").agg(F.count("*").alias("fetched"), F.count("hit").alias("filtered"))
     counts = seeds.groupBy("request_id").agg(F.count("*").alias("seeds")).join(fetched, "request_id", "left")
     return counts.select("request_id", "seeds", F.coalesce("fetched", F.lit(0)).alias("fetched"), F.coalesce("filtered", F.lit(0)).alias("filtered"))
+
+
+def user_diagnostics(requests: DataFrame, behaviors: DataFrame, edges: DataFrame, seen: DataFrame, users: DataFrame, config: ServingConfig = ServingConfig()) -> DataFrame:
+    """request_id, neighbors, missing, user_fetched and user_filtered: similar users of each request, those without a
+    profile (users: user_id of each), the items that the others liked, and seen ones of those."""
+    near = user_seeds(requests, edges, config)
+    known = users.select(F.col("user_id").alias("neighbor"), F.lit(1).alias("hit")).distinct()
+    counts = near.join(known, "neighbor", "left").groupBy("request_id").agg(F.count("*").alias("neighbors"), F.count_if(F.col("hit").isNull()).alias("missing"))
+    liked = _scored(behaviors, USER_CHANNELS, ["user_id"]).select(F.col("user_id").alias("neighbor"), "item_id")
+    met = near.select("request_id", "user_id", "neighbor").join(liked, "neighbor").join(known.drop("hit"), "neighbor", "left_semi")
+    marked = met.join(seen.select("user_id", "item_id", F.lit(1).alias("hit")), ["user_id", "item_id"], "left")
+    fetched = marked.groupBy("request_id").agg(F.count("*").alias("user_fetched"), F.count("hit").alias("user_filtered"))
+    return counts.join(fetched, "request_id", "left").na.fill(0, ["user_fetched", "user_filtered"])
+
+
+def demo_scores(candidates: DataFrame, base: float = 1.0, step: float = 0.05) -> DataFrame:
+    """Candidates (position from 1) with a retrieve_score that falls by step from base, 0.01 at least; for demonstrations."""
+    return candidates.withColumn("retrieve_score", F.greatest(F.lit(0.01), F.lit(base) - (F.col("position") - 1) * step))

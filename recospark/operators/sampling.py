@@ -34,7 +34,11 @@ def stratified(rows: DataFrame, size: int) -> DataFrame:
     """
     within = Window.partitionBy("movieId", "weight").orderBy("sample_rank", F.desc("timestamp"), "userId")
     turn = Window.partitionBy("movieId").orderBy("_k", F.desc("weight"))
-    ranked = rows.withColumn("_k", F.row_number().over(within)).withColumn("_turn", F.row_number().over(turn))
+    ranked = rows.withColumn("_k", F.row_number().over(within))
+    if size > 0:
+        # A user's turn is the place within its weight at least, so each weight is cut before an item's users come together.
+        ranked = ranked.filter(F.col("_k") <= size)
+    ranked = ranked.withColumn("_turn", F.row_number().over(turn))
     return (ranked.filter(F.col("_turn") <= size) if size > 0 else ranked).drop("_k", "_turn")
 
 
@@ -50,8 +54,8 @@ def participants(valid: DataFrame, raw: DataFrame, config: UserSimilarityConfig)
     """Rows (movieId, userId, weight) that form an item's pairs: the capped sample; and, if anchors are asked for, the
     anchored users beyond it with the sample that they are paired with."""
     best = deduplicated(valid, "weight", "timestamp").withColumn("sample_rank", stable_rank(F.col("movieId"), F.col("userId")))
-    size = F.count("*").over(Window.partitionBy("movieId"))
-    ranked = best.withColumn("_size", size).filter(F.col("_size") >= max(config.min_item_users, 2)).drop("_size")
+    many = best.groupBy("movieId").agg(F.count("*").alias("n")).filter(F.col("n") >= max(config.min_item_users, 2))
+    ranked = best.join(many.select("movieId"), "movieId", "left_semi")
     if config.max_item_users == 1:
         ranked = ranked.limit(0)  # one user forms no pair
     sampled = stratified(ranked, config.max_item_users) if config.max_item_users > 0 else ranked

@@ -55,6 +55,26 @@ def write_json(documents: DataFrame, path: str, mode: str = "errorifexists") ->
     documents.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_json_array(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Documents as one JSON array in one file, in their order: a single task streams the rows, so this is for exports."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started = False
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([("," if started or i else "[") + x for i, x in enumerate(lines)])], ["value"])
+                started = True
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    rows = documents.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    if rows.isEmpty():
+        documents.sparkSession.createDataFrame([("[]",)], "value string").write.mode(mode).text(path)
+        return
+    rows.coalesce(1).mapInArrow(run, "value string").write.mode(mode).text(path)
+
+
 def write_table(documents: DataFrame, name: str, create: bool = True, mapping: dict[str, str] | None = None) -> None:
     """Documents appended to a table. A missing one is created only if asked for; an existing one is never changed.
 
@@ -109,6 +129,54 @@ def send_in_batches(rows: DataFrame, connect: Callable[[], Send], size: int = 50
     return rows.rdd.mapPartitions(run).sum()
 
 
+#: Runs a pipeline of commands against a store: [(name, *arguments), ...].
+Execute = Callable[[list[tuple]], None]
+
+
+def send_zsets(records: DataFrame, connect: Callable[[], Execute], replace: bool = True, expire_seconds: int = 0, size: int = 500, retries: int = 3) -> int:
+    """Writes sorted sets from the executors in pipelines of `size` records; returns how many records were sent."""
+
+    def connected() -> Send:
+        execute = connect()
+
+        def send(batch: list[Row]) -> int:
+            commands: list[tuple] = []
+            for r in batch:
+                if replace:
+                    commands.append(("DEL", r.key))
+                if r["values"]:
+                    commands.append(("ZADD", r.key, r["values"]))
+                    if expire_seconds > 0:
+                        commands.append(("EXPIRE", r.key, expire_seconds))
+            execute(commands)
+            return len(batch)
+
+        return send
+
+    return send_in_batches(records, connected, size, retries)
+
+
+#: Sends a bulk write of (index, id, source) and returns the error of each document that the store refused, by place.
+Bulk = Callable[[list[Row]], dict[int, str]]
+
+
+def send_bulk(documents: DataFrame, index: str, id_field: str, connect: Callable[[], Bulk], size: int = 500) -> DataFrame:
+    """_id and error of the documents that a store refused; writes are keyed by id, so a task that runs again replaces."""
+
+    def run(part: Iterator[Row]) -> Iterator[tuple[str, str]]:
+        send, batch = connect(), []
+        for row in part:
+            batch.append(row)
+            if len(batch) >= size:
+                yield from ((batch[i]["_id"], e) for i, e in send(batch).items())
+                batch = []
+        if batch:
+            yield from ((batch[i]["_id"], e) for i, e in send(batch).items())
+
+    actions = bulk_actions(documents, index, id_field)
+    return documents.sparkSession.createDataFrame(actions.rdd.mapPartitions(run), "_id string, error string")
+
+
 def zset_commands(records: DataFrame, replace: bool = True, expire_seconds: int = 0) -> DataFrame:
     """key, step and command of each write: DEL if replaced, ZADD if there are values, EXPIRE if asked for."""
     filled = F.size("values") > 0

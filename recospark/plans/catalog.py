@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -279,6 +280,7 @@ def _stores(s, d) -> recommend.Stores:
         similarity.item_similarity(A.ratings(s, d), ITEMS).persist(),
         similarity.user_similarity(A.ratings(s, d), USERS).persist(),
         ranking.Features(genres.union(tags), quality, interests, disliked),
+        behaviors.select("user_id", "item_id").union(profiles.rated_items(rated, PROFILE).select(F.col("userId").alias("user_id"), "item_id")).distinct(),
     )
 
 
@@ -360,7 +362,7 @@ def recommend_status(s, d):
     key = F.col("c_custkey")
     asked = A.table(s, d, "customer").select((key + 1).alias("request_id"), (key + 1).alias("user_id"), F.when(key % 10 == 0, 0).otherwise(RESULTS).alias("max_candidates"))
     stores = _stores(s, d)
-    return _of_user(recommend.statuses(asked, stores, recommend.recommend(asked, stores, SERVING)))
+    return _of_user(recommend.statuses(asked, stores, recommend.recommend(asked, stores, SERVING)).drop("msg"))
 
 
 @query
@@ -395,6 +397,23 @@ def dry_run_counts(s, d):
     return sinks.dry_run(_zsets(s, d))
 
 
+@query
+def user_diagnostics(s, d):
+    stores = _stores(s, d)
+    return _of_user(retrieval.user_diagnostics(_requests(s, d), stores.behaviors, stores.user_edges, stores.seen, stores.users, SERVING))
+
+
+def _replayed(s, d) -> DataFrame:
+    stores = _stores(s, d)
+    stores = replace(stores, item_edges=fixture.cleaned(stores.item_edges), user_edges=fixture.cleaned(stores.user_edges))
+    return fixture.replay(fixture.pool(stores.user_edges), stores)
+
+
+@query
+def fixture_replay(s, d):
+    return _replayed(s, d).drop("top_item_cf", "top_user_cf")
+
+
 @query
 def fixture_users(s, d):
-    return fixture.select_users(_requests(s, d), _stores(s, d), SERVING)
+    return fixture.select_users(_replayed(s, d))

@@ -120,6 +120,29 @@ PARTS |= {
 }
 
 
+# The fixture: pools as large as the 0.01 scale hold every user with neighbours, so the pool's limits need no SQL.
+PARTS |= {
+    "unear": "SELECT src AS u, count(*) AS nb, count_if(rd2.u IS NULL)::BIGINT AS miss FROM ubsim LEFT JOIN (SELECT DISTINCT u FROM rd) rd2 ON rd2.u = dst WHERE position <= 10 AND score > 0 GROUP BY src",
+    "umet": "SELECT e.src AS u, count(*) AS fetched, count(x.i) AS filtered FROM ubsim e JOIN ulike l ON l.u = e.dst LEFT JOIN seen x ON x.u = e.src AND x.i = l.i WHERE e.position <= 10 AND e.score > 0 GROUP BY e.src",
+    "imet": "SELECT s.u, count(DISTINCT s.i) AS seeds, count(x.i) AS filtered FROM iseed s LEFT JOIN ibsim e ON e.src = s.i AND e.position <= 20 AND e.score > 0 LEFT JOIN seen x ON x.u = s.u AND x.i = e.dst GROUP BY s.u",
+    "acted": "SELECT DISTINCT u, i FROM (SELECT u, i FROM beh UNION ALL SELECT u, i FROM ratedlist WHERE position <= 300)",
+    "ilist": "SELECT u, count(*) AS n FROM icf GROUP BY u",
+    "ulist": "SELECT u, count(*) AS n FROM ucf GROUP BY u",
+    "olist": "SELECT a.u, count(*) AS n FROM icf a JOIN ucf b ON a.u = b.u AND a.i = b.i GROUP BY a.u",
+    "replay": "SELECT m.u AS user_id, (SELECT count(*) FROM acted a WHERE a.u = m.u) AS behaviors, m.seeds, (SELECT count(*) FROM seen s WHERE s.u = m.u) AS seen, n.nb AS neighbors, n.nb - n.miss AS hits, n.miss AS misses, "
+    "coalesce(a.n, 0) AS n_item_cf, coalesce(b.n, 0) AS n_user_cf, coalesce(o.n, 0) AS overlap, coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(o.n, 0) AS union_, m.filtered AS item_filtered, coalesce(k.filtered, 0) AS user_filtered "
+    "FROM imet m JOIN unear n ON n.u = m.u LEFT JOIN umet k ON k.u = m.u LEFT JOIN ilist a ON a.u = m.u LEFT JOIN ulist b ON b.u = m.u LEFT JOIN olist o ON o.u = m.u",
+    "kinds": "SELECT user_id, unnest([least(n_item_cf, n_user_cf) * 10.0::DOUBLE + union_ + hits, n_item_cf * 10.0::DOUBLE - n_user_cf * 2 + item_filtered + user_filtered, n_user_cf * 10.0::DOUBLE - n_item_cf * 2 + hits * 2, "
+    "100.0::DOUBLE / greatest(behaviors, 1) + union_, overlap * 8.0::DOUBLE + (item_filtered + user_filtered) * 3 + union_, union_ * 5.0::DOUBLE + seeds + hits, union_ * 1000.0::DOUBLE + hits]) AS score, unnest([0, 1, 2, 3, 4, 5, 6]) AS turn FROM replay WHERE union_ > 0",
+}
+_before: list[str] = []
+for _turn, _quota in enumerate((3, 2, 2, 1, 1, 1)):
+    _old = "".join(f" AND user_id NOT IN (SELECT user_id FROM pick{x})" for x in _before)
+    PARTS[f"pick{'abcdef'[_turn]}"] = f"SELECT user_id FROM kinds WHERE turn = {_turn}{_old} ORDER BY score DESC, user_id LIMIT {_quota}"
+    _before.append("abcdef"[_turn])
+_PICKED = " UNION ALL ".join(f"SELECT user_id, '{kind}' AS kind FROM pick{x}" for x, kind in zip("abcdef", ("dual", "item_strong", "user_strong", "sparse", "overlap_filter", "content"), strict=True))
+
+
 def sql(final: str) -> str:
     """The final select with the parts that it needs, in order."""
     needed, todo = set(), [final]
@@ -185,6 +208,9 @@ ORACLES = {
     "item_cf_candidates": _CANDIDATE + "icf",
     "user_cf_candidates": _CANDIDATE + "ucf",
     "retrieval_diagnostics": "SELECT u AS user_id, count(DISTINCT s.i) AS seeds, count(e.dst) AS fetched, count(x.i) AS filtered FROM iseed s LEFT JOIN ibsim e ON e.src = s.i AND e.position <= 10 LEFT JOIN seen x USING (u, i) GROUP BY u".replace("LEFT JOIN seen x USING (u, i)", "LEFT JOIN seen x ON x.u = s.u AND x.i = e.dst").replace("SELECT u AS", "SELECT s.u AS").replace("GROUP BY u", "GROUP BY s.u"),
+    "user_diagnostics": "SELECT n.u AS user_id, nb AS neighbors, miss AS missing, coalesce(fetched, 0) AS user_fetched, coalesce(filtered, 0) AS user_filtered FROM unear n LEFT JOIN umet k ON k.u = n.u WHERE n.u IN (SELECT u FROM rd)",
+    "fixture_replay": "SELECT * EXCLUDE (union_), union_ AS \"union\" FROM replay",
+    "fixture_users": _PICKED,
     "orchestrated": "SELECT u AS user_id, i AS item_id, position, retriever, round(score, 13) AS retrieve_score FROM orch",
     "retrieval_reasons": "SELECT c.u AS user_id, c.i AS item_id, c.retriever, CASE WHEN c.turn = 0 THEN 'Retrieved from item_cf using trigger item ' ELSE 'Retrieved from user_cf using similar user ' END || trig || '.' AS description FROM cand c JOIN orch o ON o.u = c.u AND o.i = c.i",
     "ranked": "SELECT u AS user_id, i AS item_id, rank_position, round(s, 6) AS rank_score, round(retrieval, 6) AS retrieval, round(interest, 6) AS interest, round(quality, 6) AS quality, round(negative, 6) AS negative FROM ranked",

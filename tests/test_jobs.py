@@ -44,3 +44,18 @@ def test_stream(spark, tmp_path):
 
     assert run([(1, 1, 5.0, 10), (2, 1, 4.0, 10)], 0) == {1: 1, 2: 1}
     assert run([(1, 2, 3.0, 20)], 1) == {1: 2}
+
+
+def test_build_and_write_apart(spark, tmp_path, capsys):
+    import pytest
+
+    args = inputs(tmp_path)
+    between = ["--documents", f"{tmp_path}/between"]
+    assert build.main(["item-similarity", *args, *between, "--skip-write"]) == 0
+    assert build.main(["item-similarity", *between, "--skip-build", "--output", "-", "--sink", "count"]) == 0
+    build.main(["item-similarity", *args, "--output", "-", "--sink", "count"])
+    one, other = capsys.readouterr().out.splitlines()
+    assert one == other
+    for bad in (["--skip-build", "--output", "x"], [*between, "--skip-build", "--skip-write"], []):
+        with pytest.raises(SystemExit):
+            build.main(["item-similarity", *bad])
