@@ -151,7 +151,12 @@ def _dealt_anew(distance: int):
 
 
 def close_links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Links (view, u, v) that connect each view's distinct fingerprints (view, fp) just as all pairs within the distance do."""
+    """Links (view, u, v) that connect each view's distinct fingerprints just as all pairs within the distance do.
+
+    fps: view and fp; where they have no views, neither have the links.
+    """
+    if "view" not in fps.columns:
+        return close_links(fps.select(F.lit(0).alias("view"), "fp"), distance).select("u", "v")
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = fps.select(F.col("view").cast("long").alias("view"), "fp").repartition(tasks, "fp")
     rows = dealt.select("view", F.explode(F.array(*[F.lit(m).cast("long") for m in masks(0, distance)])).alias("mask"), "fp")
@@ -183,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, views:
     own = checkpoint(fingerprints(docs, shingle, views, distinct, id_col, text))
     copies = checkpoint(own.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     if views == 1:
-        links = close_links(copies.select(F.lit(0).alias("view"), "fp"), distance).select("u", "v")
+        links = close_links(copies.select("fp"), distance)
     else:
         # Documents stand for each other by their first fingerprint, which those with another one in common share too.
         seen = own.select(F.col("fps")[0].alias("fp"), F.posexplode("fps").alias("view", "other")).distinct()
