@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recospark.config import ProfileConfig
@@ -48,6 +48,37 @@ def rated_items(rated: DataFrame, config: ProfileConfig) -> DataFrame:
     return _first(rows, [F.desc("timestamp"), F.desc("rating"), "item_id"], config.max_rated_items).select("userId", "position", "item_id")
 
 
+def placed(rated: DataFrame, config: ProfileConfig) -> DataFrame:
+    """Each rating with `places`: its entries (list, position) in its user's lists, rated_items among them.
+
+    All lists are read off three orders of one partitioning by user, so that none is shuffled by itself.
+    """
+    of_band = Window.partitionBy("userId", "band")
+    event, weight = F.col("timestamp"), F.round("weight", 6)
+    orders = {
+        "_strong": of_band.orderBy(F.desc(weight), F.desc(event), "movieId"),
+        "_recent": of_band.orderBy(F.desc(event), F.desc(weight), "movieId"),
+        "_rated": Window.partitionBy("userId").orderBy(F.desc(event), F.desc("rating"), "movieId"),
+    }
+    entries = []
+    for name, (band, recent, limit) in LISTS.items():
+        entries.append((name, F.col("band") == band, "_recent" if recent else "_strong", getattr(config, limit)))
+    entries.append(("rated_items", F.lit(True), "_rated", config.max_rated_items))
+
+    def entry(name, of, order, limit):
+        within = of & (F.col(order) <= limit) if limit > 0 else of
+        return F.when(within, F.struct(F.lit(name).alias("list"), F.col(order).alias("position")))
+
+    rows = rated.withColumns({name: F.row_number().over(order) for name, order in orders.items()})
+    return rows.withColumn("places", F.array_compact(F.array(*(entry(*e) for e in entries)))).drop(*orders)
+
+
+def behavior_rows(rated: DataFrame, config: ProfileConfig) -> DataFrame:
+    """userId, list, position, item_id, weight of all lists, rated_items among them."""
+    rows = placed(rated, config).select("userId", F.col("movieId").alias("item_id"), F.round("weight", 6).alias("weight"), F.explode("places").alias("x"))
+    return rows.select("userId", "x.list", "x.position", "item_id", "weight")
+
+
 def genre_scores(rated: DataFrame, movies: DataFrame, band: str) -> DataFrame:
     """userId, name, score, support, update_time: a band's weights shared among the genres of its items."""
     genres = movies.select("movieId", parse_genres(F.col("genres")).alias("genres"))
@@ -83,14 +114,51 @@ def entropy(scores: DataFrame) -> DataFrame:
     return total.select("userId", F.when(F.col("k") > 1, F.round(F.col("h") / F.log(F.col("k").cast("double")), 6)).otherwise(0.0).alias("interest_entropy"))
 
 
-def user_stats(rated: DataFrame, config: ProfileConfig) -> DataFrame:
-    """Counts by band, mean and deviation of ratings, times and confidence of each user."""
+def ranked_interests(rated: DataFrame, movies: DataFrame, top_tags: DataFrame, config: ProfileConfig) -> DataFrame:
+    """Interests of all kinds (genre, tag) and bands (positive, negative) at once.
+
+    userId, kind, band, position, name, weight, confidence, update_time as interests() has them, `kept` for those within
+    their list's length, and `share`, a positive genre's part of the user's positive scores as in entropy().
+    """
+    genres = movies.select("movieId", parse_genres(F.col("genres")).alias("genres"))
+    genres = genres.select("movieId", F.lit("genre").alias("kind"), F.greatest(F.size("genres"), F.lit(1)).cast("double").alias("factor"), F.explode("genres").alias("name"))
+    names = genres.unionByName(top_tags.select("movieId", F.lit("tag").alias("kind"), F.col("weight").cast("double").alias("factor"), F.col("tag").alias("name")))
+    rows = rated.filter(F.col("band").isin("positive", "negative")).select("userId", "movieId", "band", "weight", "timestamp").join(names, "movieId")
+    part = F.when(F.col("kind") == "genre", F.col("weight") / F.col("factor")).otherwise(F.col("weight") * F.col("factor"))
+    scores = rows.groupBy("userId", "band", "kind", "name").agg(F.sum(part).alias("score"), F.count("*").alias("support"), F.max("timestamp").alias("update_time"))
+    own = Window.partitionBy("userId", "band", "kind")
+    top, total = F.max("score").over(own), F.sum(F.when(F.col("score") > 0, F.col("score"))).over(own)
+    liked = (F.col("kind") == "genre") & (F.col("band") == "positive") & (F.col("score") > 0)
+    rows = scores.repartition("userId").select(
+        "userId",
+        "kind",
+        "band",
+        "name",
+        F.round(F.when(top > 0, F.col("score") / top).otherwise(0.0), 6).alias("weight"),
+        F.round(F.least(F.col("support") / F.lit(float(max(config.interest_confidence_support, 1))), F.lit(1.0)), 6).alias("confidence"),
+        "update_time",
+        F.when(liked, F.col("score") / total).alias("share"),
+    )
+    rows = rows.withColumn("position", F.row_number().over(own.orderBy(F.desc("weight"), F.desc("confidence"), "name")))
+    kept = F.lit(False)
+    for kind, band, limit in (
+        ("genre", "positive", config.top_genres),
+        ("tag", "positive", config.top_tags),
+        ("genre", "negative", config.top_negative_genres),
+        ("tag", "negative", config.top_negative_tags),
+    ):
+        within = (F.col("kind") == kind) & (F.col("band") == band)
+        kept = kept | (within & (F.col("position") <= limit) if limit > 0 else within)
+    return rows.withColumn("kept", kept)
+
+
+def _stats(config: ProfileConfig) -> list[Column]:
     full = F.log1p(F.lit(float(max(config.profile_confidence_rating_count, 1))))
 
     def count(band):
         return F.count_if(F.col("band") == band)
 
-    return rated.groupBy("userId").agg(
+    return [
         F.count("*").alias("rating_count"),
         count("positive").alias("positive_rating_count"),
         count("weak").alias("weak_positive_rating_count"),
@@ -101,34 +169,58 @@ def user_stats(rated: DataFrame, config: ProfileConfig) -> DataFrame:
         F.max("timestamp").alias("last_event_time"),
         (F.max("timestamp") - F.min("timestamp")).alias("active_timeframe"),
         F.round(F.least(F.log1p(F.count("*").cast("double")) / full, F.lit(1.0)), 6).alias("profile_confidence"),
-    )
+    ]
 
 
-def _gathered(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
-    """Each user's rows in order of position, as one array of structs."""
-    ordered = F.sort_array(F.collect_list(F.struct("position", *fields)))
-    inner = F.transform(ordered, lambda x: F.struct(*(x[f].alias(f) for f in fields)) if len(fields) > 1 else x[fields[0]])
-    return rows.groupBy("userId").agg(inner.alias(name))
+def user_stats(rated: DataFrame, config: ProfileConfig) -> DataFrame:
+    """Counts by band, mean and deviation of ratings, times and confidence of each user."""
+    return rated.groupBy("userId").agg(*_stats(config))
+
+
+def _listed(when: Column, fields: dict[str, Column], name: str, position: Column) -> Column:
+    """A group's rows that fulfil the condition, in order of position, as an array of structs (of values, if one field)."""
+    ordered = F.sort_array(F.collect_list(F.when(when, F.struct(position.alias("position"), *(v.alias(k) for k, v in fields.items())))))
+    inner = F.transform(ordered, lambda x: F.struct(*(x[f].alias(f) for f in fields)) if len(fields) > 1 else x[next(iter(fields))])
+    return inner.alias(name)
 
 
 def build(ratings: DataFrame, movies: DataFrame, tags: DataFrame, config: ProfileConfig = ProfileConfig(), ascii_only: bool = False) -> DataFrame:
-    """One document for each user with a rating, as in schemas.PROFILE. What several lists are made from is persisted."""
-    rated = weighted(ratings, config).persist()
-    top_tags = T.top_tags(T.evidence(tags, movies, ascii_only), config.tags, normalized=True).persist()
-    parts = user_stats(rated, config)
-    fields = ["item_id", "weight", "event_time", "source", "confidence", "raw_score"]
-    for name in LISTS:
-        parts = parts.join(_gathered(behavior_list(rated, name, config), fields, name), "userId", "left")
-    parts = parts.join(_gathered(rated_items(rated, config), ["item_id"], "rated_items"), "userId", "left")
-    liked = genre_scores(rated, movies, "positive")
-    for name, scores, key, limit in (
-        ("genres", liked, "genre", config.top_genres),
-        ("tags", tag_scores(rated, top_tags, "positive"), "tag", config.top_tags),
-        ("negative_genres", genre_scores(rated, movies, "negative"), "genre", config.top_negative_genres),
-        ("negative_tags", tag_scores(rated, top_tags, "negative"), "tag", config.top_negative_tags),
-    ):
-        parts = parts.join(_gathered(interests(scores, limit, config).withColumnRenamed("name", key), [key, "weight", "confidence", "update_time"], name), "userId", "left")
-    parts = parts.join(entropy(liked), "userId", "left").withColumn("interest_entropy", F.coalesce("interest_entropy", F.lit(0.0)))
+    """One document for each user with a rating, as in schemas.PROFILE.
+
+    Statistics and behaviour lists come from one aggregate over the ratings by user, interests from another.
+    """
+    rated = weighted(ratings, config)
+    top_tags = T.top_tags(T.evidence(tags, movies, ascii_only), config.tags, normalized=True)
+    fields = {
+        "item_id": F.col("movieId"),
+        "weight": F.round("weight", 6),
+        "event_time": F.col("timestamp"),
+        "source": F.lit(SOURCE_RATING),
+        "confidence": F.round(F.least(F.greatest("weight", F.lit(0.0)), F.lit(1.0)), 6),
+        "raw_score": F.round("rating", 6),
+    }
+
+    def listed(name: str, fields: dict[str, Column]) -> Column:
+        place = F.get(F.filter("places", lambda x: x["list"] == name), F.lit(0))["position"]
+        return _listed(place.isNotNull(), fields, name, place)
+
+    lists = [listed(name, fields) for name in LISTS] + [listed("rated_items", {"item_id": F.col("movieId")})]
+    parts = placed(rated, config).groupBy("userId").agg(*_stats(config), *lists)
+
+    def of(name: str, kind: str, band: str) -> Column:
+        wanted = F.col("kept") & (F.col("kind") == kind) & (F.col("band") == band)
+        return _listed(wanted, {kind: F.col("name"), **{f: F.col(f) for f in ("weight", "confidence", "update_time")}}, name, F.col("position"))
+
+    found = ranked_interests(rated, movies, top_tags, config).groupBy("userId").agg(
+        of("genres", "genre", "positive"),
+        of("tags", "tag", "positive"),
+        of("negative_genres", "genre", "negative"),
+        of("negative_tags", "tag", "negative"),
+        F.sum(-F.col("share") * F.log("share")).alias("_h"),
+        F.count("share").alias("_k"),
+    )
+    parts = parts.join(found, "userId", "left")
+    parts = parts.withColumn("interest_entropy", F.when(F.col("_k") > 1, F.round(F.col("_h") / F.log(F.col("_k").cast("double")), 6)).otherwise(0.0))
 
     def typed(field: str, value):
         return value.cast(PROFILE[field].dataType).alias(field)

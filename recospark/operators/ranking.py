@@ -49,11 +49,13 @@ def heuristic(candidates: DataFrame, features: Features, config: ServingConfig =
     wanted = features.interests.filter("name <> ''").groupBy("user_id", "kind", "name").agg(
         F.sum(F.when(F.col("negative"), 0.0).otherwise(F.col("weight"))).alias("liked"), F.sum(F.when(F.col("negative"), F.col("weight")).otherwise(0.0)).alias("disliked")
     )
-    own = candidates.select(*keys).join(features.names, "item_id").join(wanted, ["user_id", "kind", "name"])
-    matched = own.groupBy(*keys).agg(F.sum("liked").alias("liked"), F.sum("disliked").alias("disliked"))
+    # Candidates pass once: their names' matches are summed up without a join back to them.
+    named = candidates.join(features.names, "item_id", "left").join(wanted, ["user_id", "kind", "name"], "left")
+    others = [F.first(c).alias(c) for c in candidates.columns if c not in keys]
+    matched = named.groupBy(*keys).agg(*others, F.sum("liked").alias("liked"), F.sum("disliked").alias("disliked"))
     disliked = features.negative_items.filter("item_id > 0").groupBy("user_id", "item_id").agg(F.sum("weight").alias("item_disliked"))
     quality = features.quality.withColumn("known", F.lit(True))
-    rows = candidates.join(matched, keys, "left").join(disliked, ["user_id", "item_id"], "left").join(quality, "item_id", "left")
+    rows = matched.join(disliked, ["user_id", "item_id"], "left").join(quality, "item_id", "left")
     zero = F.lit(0.0)
     good = F.when((F.col("avg") > 0) & (F.col("count") > 0), F.col("avg") / 5.0 * F.log1p(F.col("count").cast("double"))).otherwise(0.0)
     rows = rows.select(

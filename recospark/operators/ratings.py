@@ -35,7 +35,7 @@ def weighted(ratings: DataFrame, config: ProfileConfig) -> DataFrame:
 
     A band's weight rises over its range and decays with the age of the event against the user's latest one.
     """
-    rows = deduplicated(ratings, "timestamp", "rating")
+    rows = deduplicated(ratings.repartition("userId"), "timestamp", "rating")  # one shuffle for both windows
     r, c = F.col("rating"), config
     band = F.when(r >= c.positive_min_rating, "positive").when(r >= c.weak_positive_min_rating, "weak").when(r <= c.negative_max_rating, "negative").otherwise("neutral")
     base = (

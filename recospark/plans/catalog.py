@@ -257,30 +257,24 @@ def _stores(s, d) -> recommend.Stores:
     """
     rated = _rated(s, d).persist()
     best = T.top_tags(_evidence(s, d), TAGS, normalized=True).persist()
-    behaviors, seen = None, profiles.rated_items(rated, PROFILE).select("userId", "item_id")
-    for name, channel in (("recent_liked_items", 0), ("liked_items", 1), ("interested_items", 2), ("negative_items", None)):
-        rows = profiles.behavior_list(rated, name, PROFILE)
-        seen = seen.union(rows.select("userId", "item_id"))
-        if channel is not None:
-            own = rows.select(F.col("userId").alias("user_id"), F.lit(channel).alias("channel"), "position", "item_id", "weight")
-            behaviors = own if behaviors is None else behaviors.union(own)
-    interests = None
-    for kind, band, limit in (("genre", "positive", 10), ("tag", "positive", 30), ("genre", "negative", 10), ("tag", "negative", 20)):
-        rows = profiles.interests(_scores(s, d, kind, band, rated, best), limit, PROFILE)
-        rows = rows.select(F.col("userId").alias("user_id"), F.lit(kind).alias("kind"), "name", "weight", F.lit(band == "negative").alias("negative"))
-        interests = rows if interests is None else interests.union(rows)
+    listed = profiles.behavior_rows(rated, PROFILE).withColumnRenamed("userId", "user_id").persist()
+    channels = F.create_map(*(F.lit(x) for pair in (("recent_liked_items", 0), ("liked_items", 1), ("interested_items", 2)) for x in pair))
+    behaviors = listed.withColumn("channel", channels[F.col("list")]).filter("channel is not null").select("user_id", "channel", "position", "item_id", "weight")
+    seen = listed.select("user_id", "item_id").distinct()
+    interests = profiles.ranked_interests(rated, A.movies(s, d), best, PROFILE).filter("kept")
+    interests = interests.select(F.col("userId").alias("user_id"), "kind", "name", "weight", (F.col("band") == "negative").alias("negative"))
     genres = A.movies(s, d).select(F.col("movieId").alias("item_id"), F.lit("genre").alias("kind"), F.explode(text.parse_genres(F.col("genres"))).alias("name"))
     tags = best.filter("weight > 0").select(F.col("movieId").alias("item_id"), F.lit("tag").alias("kind"), F.col("tag").alias("name"))
     quality = A.movies(s, d).select("movieId").join(ratings.rating_stats(A.ratings(s, d)), "movieId", "left").withColumnRenamed("movieId", "item_id")
-    disliked = profiles.behavior_list(rated, "negative_items", PROFILE).select(F.col("userId").alias("user_id"), "item_id", "weight")
+    disliked = listed.filter("list = 'negative_items'").select("user_id", "item_id", "weight")
     return recommend.Stores(
         rated.select(F.col("userId").alias("user_id")).distinct(),
         behaviors,
-        seen.distinct().withColumnRenamed("userId", "user_id"),
+        seen,
         similarity.item_similarity(A.ratings(s, d), ITEMS).persist(),
         similarity.user_similarity(A.ratings(s, d), USERS).persist(),
         ranking.Features(genres.union(tags), quality, interests, disliked),
-        behaviors.select("user_id", "item_id").union(profiles.rated_items(rated, PROFILE).select(F.col("userId").alias("user_id"), "item_id")).distinct(),
+        listed.filter("list <> 'negative_items'").select("user_id", "item_id").distinct(),
     )
 
 
