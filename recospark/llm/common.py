@@ -79,18 +79,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *by: str) -> DataFrame:
     """Write df as compressed Parquet below the shared checkpoint folder and read it back; for what is large.
 
-    The files go when the application ends.
+    by: columns of few values whose rows are kept in files of their own. The files go when the application ends, or by
+    discard.
     """
     ensure_checkpoint_dir(df.sparkSession)
     sc = df.sparkSession.sparkContext
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that materialise gave and that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
