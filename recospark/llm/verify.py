@@ -2,10 +2,10 @@
 
 Within a candidate group two texts are linked if the Jaccard similarity of their sets of word shingles (as 64-bit hashes)
 is `threshold` or more; what is left are the connected groups of these links. Copies of one text are one text from the
-start. A group of up to PART_BYTES of distinct text is compared as a whole in one task, so no pair of it is missed. A
-larger one is dealt over TABLES tables by a MinHash of the shingles (a pair at 0.8 shares none with probability 0.2 **
-TABLES); a bucket that is still larger is dealt over parts, and its least document goes to each of them. Pairs are never
-written out: a task gives a link for each text that belongs to another.
+start. A group of up to PART_BYTES of distinct text is compared as a whole in one task. A larger one is dealt over parts of
+half as much, and each two of its parts are compared in one task, so every pair of texts meets whatever the group's size;
+such a group's work grows with its square. Pairs are never written out: a task gives a link for each text that belongs to
+another.
 
 Words are what stands between ASCII white space, A-Z folded to lower case; a text of fewer words than a shingle is one
 shingle, and texts without words are alike.
@@ -24,9 +24,8 @@ from recospark.llm.common import checkpoint, chunks, release, texts, tidy
 from recospark.llm.components import stars
 from recospark.llm.shingles import Rolling, word_hashes
 
-#: Bytes of text that a task compares at once, a text counting as LEAST_BYTES at least; tables that a larger group is
-#: dealt over.
-PART_BYTES, LEAST_BYTES, TABLES = 8 << 20, 2048, 8
+#: Bytes of text that a task compares at once, a text counting as LEAST_BYTES at least.
+PART_BYTES, LEAST_BYTES = 8 << 20, 2048
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -101,26 +100,6 @@ def _links(shingle: int, threshold: float):
     return run
 
 
-def _dealt(shingle: int):
-    """Rows (component_id, doc_id, text) -> (component_id, doc_id, bytes, number of the table, least hash there)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                rows = []
-                for component, doc, text in zip(part.column("component_id").to_pylist(), part.column("doc_id").to_pylist(), texts(part), strict=True):
-                    own = shingles(text, shingle)
-                    for table in range(TABLES):
-                        x = (own ^ np.uint64(0x9E3779B97F4A7C15 * (table + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-                        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-                        least = int((x ^ (x >> np.uint64(29))).min()) - (1 << 63) if len(own) else 0
-                        rows.append((component, doc, max(len(text), LEAST_BYTES), table, least))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["component_id", "doc_id", "size", "table", "least"])
-
-    return run
-
-
 def duplicates(docs: DataFrame, candidates: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id of each document (doc_id, text; no null id) that isn't the least of its verified group.
 
@@ -133,19 +112,15 @@ def duplicates(docs: DataFrame, candidates: DataFrame, shingle: int = 5, thresho
     leaders = marked.groupBy("component_id", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
     copies = marked.join(leaders.select("component_id", "digest", F.col("doc_id").alias("leader")), ["component_id", "digest"]).filter(F.col("doc_id") != F.col("leader"))
     sizes = leaders.groupBy("component_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter(F.col("n") > 1)
-    leaders = checkpoint(leaders.join(sizes.select("component_id", (F.col("bytes") > PART_BYTES).alias("crowded")), "component_id").select("component_id", "doc_id", "crowded"))
+    parts = F.when(F.col("bytes") > PART_BYTES, F.ceil(2 * F.col("bytes") / PART_BYTES)).otherwise(1).cast("long")
+    leaders = checkpoint(leaders.join(sizes.select("component_id", parts.alias("parts")), "component_id").select("component_id", "doc_id", "parts"))
     release(docs.sparkSession)
     named = docs.select("doc_id", "text")
-    keyed = leaders.filter(~F.col("crowded")).select(F.xxhash64("component_id").alias("key"), "doc_id")
-    if leaders.filter("crowded").limit(1).count():
-        crowd = named.join(leaders.filter("crowded").select("component_id", "doc_id"), "doc_id").select("component_id", "doc_id", "text")
-        dealt = checkpoint(crowd.mapInArrow(tidy(_dealt(shingle)), "component_id long, doc_id long, size long, table int, least long"))
-        bucket = ["component_id", "table", "least"]
-        sums = dealt.groupBy(*bucket).agg(F.ceil(F.sum("size") / PART_BYTES).alias("parts"), F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter(F.col("n") > 1)
-        own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-        part = F.explode(F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own))
-        parts = dealt.join(sums.drop("n"), bucket).select(*bucket, "doc_id", part.alias("part"))
-        keyed = keyed.union(parts.select(F.xxhash64(*bucket, "part").alias("key"), "doc_id"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = leaders.select("component_id", "doc_id", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), others)
+    # Each two parts meet; a part's own pairs do so wherever it meets another.
+    dealt = dealt.filter((F.col("parts") == 1) | (F.col("part") != F.col("other")))
+    keyed = dealt.select(F.xxhash64("component_id", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "doc_id")
     # Equal keys of different groups only mean more comparisons, as every link is verified.
     rows = named.join(keyed.hint("shuffle_hash"), "doc_id").select("key", "doc_id", "text").repartition("key").sortWithinPartitions("key")
     links = stars(rows.mapInArrow(tidy(_links(shingle, threshold)), "u long, v long"))

@@ -66,3 +66,17 @@ def test_same_words_in_other_order_stay(spark):
     rows += [(9, rows[0][1]), (8, " ".join(edited(rows[0][1].split(), 1, rng)))]
     docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("part_bytes", [1000, 3000, 20_000])
+def test_no_pair_of_a_large_group_is_missed(spark, monkeypatch, part_bytes):
+    """Pairs just at the threshold, in one candidate group whose texts all share a passage, so also least hashes."""
+    rng, rows = random.Random(5), []
+    for i in range(150):
+        words = [*(f"c{k}" for k in range(30)), *(f"a{i}x{k}" for k in range(19))]  # with word 40 changed 40 shingles of 50 are shared
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:40], f"b{rng.random()}", *words[41:]]))]
+    monkeypatch.setattr(verify, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(verify, "LEAST_BYTES", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    candidates = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, component_id long")
+    assert {r.doc_id for r in verify.duplicates(docs, candidates).collect()} == {2 * i + 1 for i in range(150)}
