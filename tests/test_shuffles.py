@@ -4,8 +4,8 @@ import contextlib
 import io
 import re
 
-from recospark.config import ProfileConfig
-from recospark.operators import profiles
+from recospark.config import ProfileConfig, UserSimilarityConfig
+from recospark.operators import profiles, similarity
 from recospark.operators import tags as T
 from recospark.operators.ratings import weighted
 from recospark.sources import adapters as A
@@ -37,3 +37,13 @@ def test_interests_stay_with_their_user(spark, monkeypatch):
 def test_tags_are_shuffled_once_by_item(spark):
     assert not any("tag" in x for x in exchanges(T.evidence(A.tags(spark, SF), A.movies(spark, SF), True).unpersist()))
     assert not any("tag" in x for x in exchanges(T.evidence(A.tags(spark, SF, dealt=False), A.movies(spark, SF)).unpersist()))
+
+
+def test_coverage_in_rounds_gives_the_same_neighbours(spark, monkeypatch):
+    config = UserSimilarityConfig(min_rating=3.5, use_rating_weight=True, max_item_users=4, coverage_anchor_items_per_user=2, coverage_pair_sample_size=8)
+    ratings = A.ratings(spark, SF)
+    want = sorted(map(tuple, similarity.user_similarity(ratings, config).select("src", "dst", "score", "cooccurrence", "position").collect()))
+    monkeypatch.setattr(similarity, "ROUND_ROWS", 500)
+    found = similarity.user_similarity(ratings, config)
+    assert want and sorted(map(tuple, found.select("src", "dst", "score", "cooccurrence", "position").collect())) == want
+    assert not exchanges(found)  # its shuffles are done with
