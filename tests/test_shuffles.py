@@ -43,7 +43,7 @@ def test_coverage_in_rounds_gives_the_same_neighbours(spark, monkeypatch):
     config = UserSimilarityConfig(min_rating=3.5, use_rating_weight=True, max_item_users=4, coverage_anchor_items_per_user=2, coverage_pair_sample_size=8)
     ratings = A.ratings(spark, SF)
     want = sorted(map(tuple, similarity.user_similarity(ratings, config).select("src", "dst", "score", "cooccurrence", "position").collect()))
-    monkeypatch.setattr(similarity, "ROUND_ROWS", 500)
+    monkeypatch.setattr(similarity, "ROUND_ROWS", 50)
     found = similarity.user_similarity(ratings, config)
     assert want and sorted(map(tuple, found.select("src", "dst", "score", "cooccurrence", "position").collect())) == want
     assert not exchanges(found)  # its shuffles are done with
