@@ -8,6 +8,7 @@ from recospark.config import ProfileConfig, UserSimilarityConfig
 from recospark.operators import profiles, similarity
 from recospark.operators import tags as T
 from recospark.operators.ratings import weighted
+from recospark.plans import catalog
 from recospark.sources import adapters as A
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,13 @@ def test_coverage_in_rounds_gives_the_same_neighbours(spark, monkeypatch):
     found = similarity.user_similarity(ratings, config)
     assert want and sorted(map(tuple, found.select("src", "dst", "score", "cooccurrence", "position").collect())) == want
     assert not exchanges(found)  # its shuffles are done with
+
+
+def test_status_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "ROUND_USERS", 60)
+    found = catalog.QUERIES["recommend_status"](spark, SF).collect()
+    assert len({r.user_id for r in found}) == len(found) == A.table(spark, SF, "customer").count()
+    got = catalog.QUERIES["recommend"](spark, SF)
+    assert not exchanges(got)  # its shuffles are done with
+    n = {r.user_id: r["count"] for r in got.groupBy("user_id").count().collect()}
+    assert n and all(n[r.user_id] == r.n_items for r in found if r.n_items)
